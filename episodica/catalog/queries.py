@@ -14,7 +14,6 @@ from episodica.config import (
     REMAP_STRATA,
     STRATUM_IDS,
     UNVACCINATED,
-    UNVACCINATED_ID,
     VACCINATED,
 )
 from episodica.functions.random import uniform
@@ -47,7 +46,11 @@ def off_tie(name: str, source: Column | str | None = None) -> Column:
 
 
 class Study:
-    """Lazy tables of the study on one data folder, shared by the queries below."""
+    """Tables of the study on one data folder, shared by the queries below.
+
+    Tables are lazy, but for the hand-over points of the study, which are stage tables
+    as in a full run: derived cohorts, weighted populations, covariates, model inputs.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -76,9 +79,17 @@ class Study:
     def derived(self) -> DataFrame:
         return co.outcome_cohorts(self.pairs)
 
+    @cached_property
+    def stages(self) -> StageStore:
+        return StageStore(self.spark)
+
+    @cached_property
+    def staged_derived(self) -> DataFrame:
+        return self.stages.save(self.derived, "derived")
+
     @cached_property
     def named(self) -> DataFrame:
-        return co.composite_outcomes(self.derived)
+        return co.composite_outcomes(self.staged_derived)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -92,9 +103,13 @@ class Study:
     def population(self) -> DataFrame:
         return po.build_population(self.cdm, self.config)
 
-    def stratum_members(self, name: str) -> DataFrame:
-        drawn_for = po.arm_members(self.cohort, STRATUM_IDS[name], UNVACCINATED_ID)
-        return po.assign_index_date(drawn_for, self.config.seed)
+    @cached_property
+    def stratum_arms(self) -> DataFrame:
+        return po.stratum_members(self.cohort, STRATUM_IDS)
+
+    @cached_property
+    def stratum_members(self) -> DataFrame:
+        return po.assign_index_date(self.stratum_arms, self.config.seed)
 
     def weigh(self, population: DataFrame) -> DataFrame:
         scored = population.withColumn("ps", stand_in_score())
@@ -102,16 +117,17 @@ class Study:
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return self.weigh(self.population)
+        return self.populations.where("population = 'any'").drop("population")
 
     @cached_property
     def populations(self) -> DataFrame:
         """The main population and the two vaccine strata, told apart by a column."""
-        rows = self.weighted.withColumn("population", F.lit("any"))
-        for name in STRATUM_IDS:
-            part = po.stratum_population(self.population, self.stratum_members(name))
-            rows = rows.unionByName(self.weigh(part).withColumn("population", F.lit(name)))
-        return rows
+        everybody = self.individuals.withColumn("stratum", F.lit("any")).unionByName(
+            self.stratum_members.select("stratum", "person_id", "index_date")
+        )
+        rows = po.stratum_populations(self.population, everybody)
+        weighted = self.weigh(rows.withColumnRenamed("stratum", "population"))
+        return self.stages.save(weighted, "populations")
 
     @cached_property
     def arm_weights(self) -> DataFrame:
@@ -128,18 +144,32 @@ class Study:
     def frequent(self) -> DataFrame:
         return fe.drop_rare(self.discrete, self.individuals, self.config.rare_share)
 
+    @cached_property
+    def staged_covariates(self) -> DataFrame:
+        """All covariates with their kind, rare flags included."""
+        rows = fe.all_covariates(self.cdm, self.individuals, self.config)
+        return self.stages.save(rows, "covariates", ["kind"])
+
+    def kind(self, name: str) -> DataFrame:
+        return self.staged_covariates.where(F.col("kind") == name).drop("kind")
+
+    @cached_property
+    def staged_flags(self) -> DataFrame:
+        flags = fe.drop_rare(self.kind("discrete"), self.individuals, self.config.rare_share)
+        return self.stages.save(flags, "frequent")
+
     @cached_property
     def continuous(self) -> DataFrame:
-        return fe.continuous_covariates(self.cdm, self.individuals, self.config)
+        return self.kind("continuous")
 
     @cached_property
     def factors(self) -> DataFrame:
-        return fe.factor_covariates(self.cdm, self.individuals, self.config)
+        return self.kind("factor")
 
     @cached_property
     def balance(self) -> DataFrame:
         return bal.balance_table(
-            self.frequent, self.continuous, self.factors, self.arm_weights, STAND_IN
+            self.staged_flags, self.continuous, self.factors, self.arm_weights, STAND_IN
         )
 
     @cached_property
@@ -161,7 +191,7 @@ class Study:
     @cached_property
     def count_estimates(self) -> DataFrame:
         """Stand-in estimates from the sizes of the derived cohorts, with their censoring."""
-        n = self.derived.groupBy("cohort_definition_id").agg(F.count("*").alias("n"))
+        n = self.staged_derived.groupBy("cohort_definition_id").agg(F.count("*").alias("n"))
         return co.decode_cohort_id(n).select(
             "cohort_definition_id",
             "censoring",
@@ -169,15 +199,6 @@ class Study:
             (1 / F.sqrt(F.col("n") + 1)).alias("se"),
         )
 
-    # Model inputs are stage tables: the fits read them many times.
-    @cached_property
-    def stages(self) -> StageStore:
-        return StageStore(self.spark)
-
-    @cached_property
-    def staged_flags(self) -> DataFrame:
-        return self.stages.save(self.frequent, "frequent")
-
     @cached_property
     def flag_names(self) -> list[str]:
         return mx.covariate_names(self.staged_flags)
@@ -285,7 +306,7 @@ def cohort_append(s: Study) -> DataFrame:
     path = s.stages.path("cohort_table")
     sinks.replace_cohorts(s.cohort, path)
     for _ in range(2):  # the second time replaces the first
-        sinks.replace_cohorts(s.derived, path)
+        sinks.replace_cohorts(s.staged_derived, path)
     return sinks.read_cohorts(s.spark, path).groupBy("cohort_definition_id").agg(
         F.count("*").alias("n_rows"),
         F.min("cohort_start_date").alias("first_start"),
@@ -421,26 +442,16 @@ def arm_sizes(s: Study) -> DataFrame:
     return po.arm_sizes(s.members)
 
 
-def _each_stratum(build: Callable[[str], DataFrame]) -> DataFrame:
-    first, *others = [build(n).withColumn("stratum", F.lit(n)) for n in STRATUM_IDS]
-    for rows in others:
-        first = first.unionByName(rows)
-    return first
-
-
 @query
 def index_date_distribution(s: Study) -> DataFrame:
-    def shares(name: str) -> DataFrame:
-        return po.index_date_distribution(po.arm_members(s.cohort, STRATUM_IDS[name], UNVACCINATED_ID))
-
-    return _each_stratum(shares).select(
+    return po.index_date_distribution(s.stratum_arms).select(
         "stratum", "index_date", "n", r6("share"), r6("lower"), r6("upper")
     )
 
 
 @query
 def assign_index_date(s: Study) -> DataFrame:
-    return _each_stratum(s.stratum_members)
+    return s.stratum_members
 
 
 @query
@@ -548,11 +559,7 @@ def select_covariates(s: Study) -> DataFrame:
 @query
 def restrict_population(s: Study) -> DataFrame:
     flags = fe.condition_flags(s.cdm, s.individuals, s.config.salts)
-    return _each_stratum(
-        lambda n: fe.restrict_to(
-            flags, po.arm_members(s.cohort, STRATUM_IDS[n], UNVACCINATED_ID)
-        )
-    )
+    return fe.restrict_to(flags, s.stratum_arms)
 
 
 @query
@@ -632,7 +639,7 @@ def _moments(df: DataFrame) -> DataFrame:
 
 def _flags_and_levels(s: Study) -> DataFrame:
     columns = ["person_id", "covariate", "value"]
-    return s.frequent.select(*columns).unionByName(s.factors.select(*columns))
+    return s.staged_flags.select(*columns).unionByName(s.factors.select(*columns))
 
 
 @query

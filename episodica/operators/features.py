@@ -15,7 +15,7 @@ from episodica.config import (
 from episodica.functions.dates import age_at, days_between, lookback_window, years_between
 from episodica.functions.text import covariate_name
 from episodica.operators.cohorts import has_id
-from episodica.operators.joins import person_join
+from episodica.operators.joins import person_join, salted_join
 from episodica.operators.population import observed_period
 from episodica.sources.readers import Cdm
 
@@ -65,7 +65,7 @@ def _flags(
         .distinct()
     )
     return (
-        seen.join(concept_names(facts, concept), "concept_id")
+        salted_join(seen, concept_names(facts, concept), "concept_id", ["person_id"], salts)
         .select(
             "person_id",
             covariate_name(family, F.col("concept_name"), F.col("window")).alias("covariate"),
@@ -146,7 +146,7 @@ def alltime_counts(
     per_concept = rows.groupBy("person_id", "concept_id").agg(F.count("*").alias("n"))
     name = covariate_name(family, F.col("concept_name"), F.lit("allTime"))
     return (
-        per_concept.join(concept_names(facts, concept), "concept_id")
+        salted_join(per_concept, concept_names(facts, concept), "concept_id", ["person_id"], salts)
         .groupBy("person_id", name.alias("covariate"))
         .agg(F.sum("n").cast("double").alias("value"))
     )
@@ -350,11 +350,9 @@ def select_covariates(covariates: DataFrame, names: DataFrame) -> DataFrame:
     return covariates.join(names.select("covariate"), "covariate", "left_semi")
 
 
-def restrict_to(covariates: DataFrame, individuals: DataFrame) -> DataFrame:
-    """Stored covariates of the persons of a stratum; they keep the base index date."""
-    return covariates.join(
-        individuals.select("person_id").distinct(), "person_id", "left_semi"
-    )
+def restrict_to(covariates: DataFrame, members: DataFrame) -> DataFrame:
+    """Stored covariates of the persons of each stratum; they keep the base index date."""
+    return covariates.join(members.select("stratum", "person_id").distinct(), "person_id")
 
 
 def reference_levels(factors: DataFrame) -> DataFrame:

@@ -34,18 +34,24 @@ def interval_join(
     return a.join(e, on + ["_slice"]).where(gap.between(min_days, max_days)).drop("_slice")
 
 
-def person_join(
-    facts: DataFrame, persons: DataFrame, salt_by: list[str], salts: int = 8
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, on: str, salt_by: list[str], salts: int = 8
 ) -> DataFrame:
-    """Facts with the columns of their person.
+    """Rows with the columns a small table holds for their key.
 
-    ``persons`` holds a few rows per person. When Spark's own size check lets it
-    broadcast them the facts do not move; otherwise the facts of a person are
-    spread over ``salts`` tasks by the columns ``salt_by``, and the person rows are
-    copied to each.
+    When Spark's own size check lets it broadcast ``lookup`` the rows do not move;
+    otherwise the rows of one key are spread over ``salts`` tasks by the columns
+    ``salt_by``, and the lookup rows are copied to each.
     """
     if salts <= 1:
-        return facts.join(persons, "person_id")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    copies = persons.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["person_id", "_salt"]).drop("_salt")
+        return rows.join(lookup, on)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [on, "_salt"]).drop("_salt")
+
+
+def person_join(
+    facts: DataFrame, persons: DataFrame, salt_by: list[str], salts: int = 8
+) -> DataFrame:
+    """Facts with the columns of their person; a person may hold very many facts."""
+    return salted_join(facts, persons, "person_id", salt_by, salts)

@@ -120,36 +120,61 @@ def arm_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("group").agg(F.count("*").alias("population"))
 
 
+def stratum_members(
+    cohort: DataFrame, strata: dict[str, int], unvaccinated_id: int = UNVACCINATED_ID
+) -> DataFrame:
+    """Arms of several vaccine strata at once: (stratum, person_id, index_date, group).
+
+    A stratum has its own vaccinated cohort; the unvaccinated belong to all of them.
+    """
+    names = F.array(*[F.lit(n) for n in strata])
+    for name, cohort_id in strata.items():
+        own = F.col("cohort_definition_id") == cohort_id
+        names = F.when(own, F.array(F.lit(name))).otherwise(names)
+    unvaccinated = F.col("cohort_definition_id") == unvaccinated_id
+    return (
+        cohort.where(has_id(unvaccinated_id, *strata.values()))
+        .select(
+            F.explode(names).alias("stratum"),
+            F.col("subject_id").alias("person_id"),
+            F.col("cohort_start_date").alias("index_date"),
+            F.when(unvaccinated, UNVACCINATED).otherwise(VACCINATED).alias("group"),
+        )
+        .distinct()
+    )
+
+
 def index_date_distribution(members: DataFrame) -> DataFrame:
-    """Vaccinated persons per index date with the share of dates up to each.
+    """Vaccinated persons per stratum and index date, with the share of dates up to each.
 
-    One row per calendar day, which bounds the window below.
+    One row per stratum and calendar day, which bounds the windows below.
     """
     by_day = (
-        members.where(F.col("group") == VACCINATED).groupBy("index_date")
+        members.where(F.col("group") == VACCINATED).groupBy("stratum", "index_date")
         .agg(F.count("*").alias("n"))
     )
-    everything = Window.partitionBy(F.lit(1))
-    upto = everything.orderBy("index_date").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(everything)
+    whole = Window.partitionBy("stratum")
+    upto = F.sum("n").over(whole.orderBy("index_date").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(whole)
     return by_day.select(
+        "stratum",
         "index_date",
         "n",
         (F.col("n") / total).alias("share"),
-        ((F.sum("n").over(upto) - F.col("n")) / total).alias("lower"),
-        (F.sum("n").over(upto) / total).alias("upper"),
+        ((upto - F.col("n")) / total).alias("lower"),
+        (upto / total).alias("upper"),
     )
 
 
 def assign_index_date(members: DataFrame, seed: int, bins: int = 4096) -> DataFrame:
-    """Draw an index date for every unvaccinated person from those of the vaccinated.
+    """Draw an index date for every unvaccinated person from those of the stratum's vaccinated.
 
     A person's number in [0, 1) comes from a hash, so the draw does not depend on
     partitioning. The date whose share interval holds it is found by an equi-join on
-    equal-width bins; the date table has at most days + 2 * bins rows.
+    equal-width bins; the date table has at most days + 2 * bins rows per stratum.
     """
-    shares = index_date_distribution(members)
-    table = shares.select(
+    table = index_date_distribution(members).select(
+        "stratum",
         F.col("index_date").alias("drawn"),
         "lower",
         "upper",
@@ -157,20 +182,19 @@ def assign_index_date(members: DataFrame, seed: int, bins: int = 4096) -> DataFr
             F.sequence(F.floor(F.col("lower") * bins), F.floor(F.col("upper") * bins))
         ).alias("bin"),
     )
-    u = uniform("person_id", seed)
     drawn = (
         members.where(F.col("group") == UNVACCINATED)
-        .withColumn("u", u)
+        .withColumn("u", uniform("person_id", seed))
         .withColumn("bin", F.floor(F.col("u") * bins))
-        .join(F.broadcast(table), "bin")
+        .join(F.broadcast(table), ["stratum", "bin"])
         .where((F.col("u") >= F.col("lower")) & (F.col("u") < F.col("upper")))
-        .select("person_id", F.col("drawn").alias("index_date"), "group")
+        .select("stratum", "person_id", F.col("drawn").alias("index_date"), "group")
     )
-    kept = members.where(F.col("group") == VACCINATED).select("person_id", "index_date", "group")
+    kept = members.where(F.col("group") == VACCINATED)
     return kept.unionByName(drawn)
 
 
-def stratum_population(base: DataFrame, individuals: DataFrame) -> DataFrame:
-    """Persons of a vaccine stratum: columns of the base population, own index date."""
-    dates = individuals.select("person_id", "index_date")
-    return base.drop("index_date").join(dates, "person_id").select(*base.columns)
+def stratum_populations(base: DataFrame, members: DataFrame) -> DataFrame:
+    """Persons of each stratum: columns of the base population, own index date."""
+    dates = members.select("stratum", "person_id", "index_date")
+    return base.drop("index_date").join(dates, "person_id").select("stratum", *base.columns)

@@ -205,30 +205,46 @@ def risk_sums(
     arms = {"v": VACCINATED, "u": UNVACCINATED}
     codes = {"e": EVENT, "d": DEATH, "c": CENSORED}
     weight_cols = sorted(set(weightings.values()))
+    cell, day = [*strata, *keys], ["group", "time", "event"]
 
+    # everybody, once per day: a table bounded by strata x days x 9
     day_sums = (
         base.where(F.col("time") >= min_time)
-        .groupBy(*strata, "group", "limited", "time", "event")
+        .groupBy(*strata, "limited", *day)
         .agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in weight_cols])
     )
-    both_arms = cells.select("*", F.explode(F.array(*[F.lit(a) for a in arms.values()])).alias("group"))
-    everybody = day_sums.join(
-        F.broadcast(both_arms.withColumn("limited", limited)), ["group", "limited"]
+    both_arms = F.explode(F.array(*[F.lit(a) for a in arms.values()]))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    everybody = (
+        cells.select("*", both_arms.alias("group")).withColumn("limited", limited)
+        .repartition(tasks, *keys)
+        .join(F.broadcast(day_sums), ["group", "limited"])
+        .select(*cell, *day, "n", *weight_cols)
     )
 
-    def signed(df: DataFrame, sign: int) -> DataFrame:
-        return df.where(F.col("time") >= min_time).select(
-            *strata, *keys, "group", "time", "event", F.lit(sign).cast("bigint").alias("n"),
-            *[(F.col(c).cast("double") * sign).alias(c) for c in weight_cols],
+    # persons with an outcome: their rows, less their follow-up once per analysis
+    first = F.row_number().over(
+        Window.partitionBy(*cell, "person_id").orderBy("time", "event")
+    ) == 1
+    change = F.array(
+        F.struct(F.lit(1).alias("sign"), F.col("time").alias("t"), F.col("event").alias("e")),
+        F.when(first, F.struct(F.lit(-1).alias("sign"), F.col("base_time").alias("t"),
+                               F.col("base_event").alias("e"))),
+    )
+    changes = (
+        rows.withColumn("change", change)
+        .select(*cell, "group", *weight_cols, F.explode(F.array_compact("change")).alias("x"))
+        .where(F.col("x.t") >= min_time)
+        .groupBy(*cell, "group", F.col("x.t").alias("time"), F.col("x.e").alias("event"))
+        .agg(
+            F.sum(F.col("x.sign").cast("bigint")).alias("n"),
+            *[F.sum(F.col(c).cast("double") * F.col("x.sign")).alias(c) for c in weight_cols],
         )
+    )
 
-    replaced = rows.select(
-        *strata, *keys, "person_id", "group", F.col("base_time").alias("time"),
-        F.col("base_event").alias("event"), *weight_cols,
-    ).distinct()
-    parts = everybody.select(*strata, *keys, "group", "time", "event", "n", *weight_cols)
-    parts = parts.unionByName(signed(rows, 1)).unionByName(signed(replaced, -1))
-
+    # both parts are bounded by analyses x days; one move by analysis serves the sums
+    # here and the windows of the risk sets
+    parts = everybody.unionByName(changes).repartition(*cell)
     sums = []
     for code, value in codes.items():
         for arm, name in arms.items():
@@ -236,7 +252,7 @@ def risk_sums(
             sums.append(F.sum(F.when(here, F.col("n")).otherwise(0)).alias(f"n_{code}{arm}"))
             for c in weight_cols:
                 sums.append(F.sum(F.when(here, F.col(c)).otherwise(0.0)).alias(f"{c}_{code}{arm}"))
-    per_day = parts.groupBy(*strata, *keys, "time").agg(*sums)
+    per_day = parts.groupBy(*cell, "time").agg(*sums)
 
     def weighting(name: str, column: str) -> Column:
         fields = [F.lit(name).alias("analysis")]
@@ -250,12 +266,12 @@ def risk_sums(
         return F.struct(*fields)
 
     counts = [f"n_{code}{arm}" for code in codes for arm in arms]
-    some_left = reduce(and_, [F.col(c) == 0 for c in counts])
-    exploded = per_day.where(~some_left).select(
-        *strata, *keys, "time", *counts,
+    none_left = reduce(and_, [F.col(c) == 0 for c in counts])
+    exploded = per_day.where(~none_left).select(
+        *cell, "time", *counts,
         F.explode(F.array(*[weighting(k, c) for k, c in weightings.items()])).alias("w"),
     )
-    return exploded.select(*strata, *keys, "w.analysis", "time", *counts,
+    return exploded.select(*cell, "w.analysis", "time", *counts,
                            *[f"w.{code}{arm}" for code in codes for arm in arms])
 
 
