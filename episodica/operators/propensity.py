@@ -133,10 +133,12 @@ def one_se_lambda(path: DataFrame) -> float:
     return max(r["lambda"] for r in rows if r.mean_loss <= best.mean_loss + best.se_loss)
 
 
-def lasso_selected(vectors: DataFrame, names: list[str], penalty: float) -> DataFrame:
+def lasso_selected(
+    vectors: DataFrame, names: list[str], penalty: float, tol: float = 1e-6
+) -> DataFrame:
     """Flags with a non-zero coefficient at a penalty, with the coefficient."""
     lr = LogisticRegression(
-        elasticNetParam=1.0, regParam=penalty, standardization=True, maxIter=100, tol=1e-6
+        elasticNetParam=1.0, regParam=penalty, standardization=True, maxIter=100, tol=tol
     )
     coefficients = lr.fit(vectors).coefficients.toArray()
     chosen = [(n, float(c)) for n, c in zip(names, coefficients) if c != 0]
