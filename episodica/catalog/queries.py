@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import cached_property, lru_cache
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.config import (
@@ -33,7 +33,8 @@ from episodica.sources.stages import StageStore
 
 SAMPLE_SIZE = 500
 STAND_IN = {"before": "one", "after": "weight"}
-ANALYSES = {"crude": "one", "adjusted": "weight"}
+ANALYSES = {"crude": "n", "adjusted": "weight"}
+WEIGHTS = ["weight"]
 
 
 def r6(name: str, source: Column | str | None = None) -> Column:
@@ -182,11 +183,11 @@ class Study:
 
     @cached_property
     def sums(self) -> DataFrame:
-        return te.study_sums(self.populations, self.named, self.config, ANALYSES, ["population"])
+        return te.study_sums(self.populations, self.named, self.config, WEIGHTS, ["population"])
 
     @cached_property
     def control_sums(self) -> DataFrame:
-        return te.control_sums(self.weighted, self.controls, self.nco, self.config, ANALYSES)
+        return te.control_sums(self.weighted, self.controls, self.nco, self.config, WEIGHTS)
 
     @cached_property
     def count_estimates(self) -> DataFrame:
@@ -719,17 +720,19 @@ def _totals(sums: DataFrame, keys: list[str]) -> DataFrame:
     parts = F.array(
         *[
             F.struct(
+                F.lit(analysis).alias("analysis"),
                 F.lit(arm).alias("group"),
                 F.lit(code).alias("event"),
                 F.col(f"n_{c}{a}").alias("n"),
-                F.col(f"{c}{a}").alias("w"),
+                F.col(f"{prefix}_{c}{a}").cast("double").alias("w"),
             )
             for c, code in codes.items()
             for a, arm in arms.items()
+            for analysis, prefix in ANALYSES.items()
         ]
     )
-    rows = sums.select(*keys, "analysis", "time", F.explode(parts).alias("p")).where("p.n > 0")
-    return rows.groupBy(*keys, "analysis", "p.group", "p.event").agg(
+    rows = sums.select(*keys, "time", F.explode(parts).alias("p")).where("p.n > 0")
+    return rows.groupBy(*keys, "p.analysis", "p.group", "p.event").agg(
         F.sum("p.n").alias("n_rows"),
         F.sum(F.col("p.n") * F.col("time")).alias("person_days"),
         off_tie("weight", F.sum("p.w")),
@@ -764,24 +767,19 @@ def _risk(df: DataFrame, keys: list[str]) -> DataFrame:
 
 @query
 def fg_riskset(s: Study) -> DataFrame:
-    keys = GRID + ["analysis"]
-    return _risk(su.risk_sets(s.sums, keys), keys)
+    return _risk(su.risk_sets(s.sums, GRID, ANALYSES), [*GRID, "analysis"])
 
 
 @query
 def fg_riskset_counted(s: Study) -> DataFrame:
-    """The same with censoring estimated from counts."""
-    keys = ["outcome", "analysis"]
-    return _risk(su.risk_sets(s.control_sums, keys, weighted_censoring=False), keys)
+    """The same for negative controls, with censoring estimated from counts."""
+    risk = su.risk_sets(s.control_sums, ["outcome"], ANALYSES, weighted_censoring=False)
+    return _risk(risk, ["outcome", "analysis"])
 
 
 @query
 def fg_estimates(s: Study) -> DataFrame:
-    keys = GRID + ["analysis"]
-    events = F.sum("n_events").over(Window.partitionBy(*keys))
-    enough = su.risk_sets(s.sums, keys).withColumn("total", events)
-    gated = enough.where(F.col("total") >= s.config.min_events).drop("total")
-    return su.fine_gray(gated, keys)
+    return su.estimate(s.sums, GRID, ANALYSES, s.config.min_events)
 
 
 @query
@@ -796,8 +794,7 @@ def nco_study_table(s: Study) -> DataFrame:
 
 @query
 def fg_nco(s: Study) -> DataFrame:
-    keys = ["outcome", "analysis"]
-    return su.fine_gray(su.risk_sets(s.control_sums, keys), keys)
+    return su.estimate(s.control_sums, ["outcome"], ANALYSES)
 
 
 @query
@@ -830,9 +827,8 @@ def ci_coverage(s: Study) -> DataFrame:
 @query
 def calibrated_nco(s: Study) -> DataFrame:
     """Negative controls calibrated by the error model of their own estimates."""
-    keys = ["outcome", "analysis"]
-    estimates = su.fine_gray(su.risk_sets(s.control_sums, keys), keys).select(
-        *keys, F.col("log_hr").alias("log_rr"), "se"
+    estimates = su.estimate(s.control_sums, ["outcome"], ANALYSES).select(
+        "outcome", "analysis", F.col("log_hr").alias("log_rr"), "se"
     )
     staged = s.stages.save(estimates, "nco_estimates")
     return cal.calibrate(staged, cal.fit_error_model(staged, ["analysis"]), ["analysis"])

@@ -6,65 +6,101 @@ over days, so a group has at most as many rows as the study has days.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Z95 = NormalDist().inv_cdf(0.975)
 
 
-def risk_sets(sums: DataFrame, keys: list[str], weighted_censoring: bool = True) -> DataFrame:
-    """Weight at risk per arm on each day with an event.
+def risk_sets(
+    sums: DataFrame,
+    keys: list[str],
+    weightings: dict[str, str],
+    weighted_censoring: bool = True,
+) -> DataFrame:
+    """Weight at risk per arm on each day with an event, for each analysis.
 
-    Persons who died stay at risk with a weight that shrinks as the probability of
-    remaining uncensored does since their death. ``weighted_censoring`` estimates that
-    probability from weights, otherwise from counts. On one day events and deaths
-    come before censoring.
+    ``sums`` comes from ``risk_sums``. ``weightings`` maps the name of an analysis to
+    the prefix of its sums, ``n`` for counts. Persons who died stay at risk with a
+    weight that shrinks as the probability of remaining uncensored does since their
+    death. ``weighted_censoring`` estimates that probability from weights, otherwise
+    from counts. On one day events and deaths come before censoring.
     """
     past = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
     from_now = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    prefix = "" if weighted_censoring else "n_"
-    leaving = {code: F.col(f"{prefix}{code}v") + F.col(f"{prefix}{code}u") for code in "edc"}
-    persons = sum((F.col(f"n_{code}{arm}") for code in "edc" for arm in "vu"), F.lit(0))
-    staged = sums.select(
-        *keys, "time",
-        (F.col("n_ev") + F.col("n_eu")).alias("n_events"),
-        F.col("ev"), F.col("eu"), F.col("dv"), F.col("du"),
-        *[F.sum(F.col(f"e{a}") + F.col(f"d{a}") + F.col(f"c{a}")).over(from_now).alias(f"at_risk_{a}")
-          for a in "vu"],
-        (F.sum(leaving["e"] + leaving["d"] + leaving["c"]).over(from_now)
-         - leaving["e"] - leaving["d"]).alias("exposed"),
-        leaving["c"].alias("censored"),
-        (F.sum(persons).over(from_now) - persons).alias("n_after"),
-    )
-    nobody_left = (F.col("censored") > 0) & (F.col("n_after") == 0)
-    log_step = F.when(nobody_left | (F.col("censored") == 0), 0.0).otherwise(
-        F.log(1 - F.try_divide(F.col("censored"), F.col("exposed")))
-    )
+    prefixes = sorted({"n", *weightings.values()})
+
+    def total(prefix: str, codes: str = "edc", arms: str = "vu") -> Column:
+        return reduce(add, [F.col(f"{prefix}_{c}{a}") for c in codes for a in arms])
+
+    at_risk = {f"{p}_risk_{a}": F.sum(total(p, arms=a)).over(from_now) for p in prefixes for a in "vu"}
+    staged = sums.withColumns(at_risk)
+    here = F.col("n_risk_v") + F.col("n_risk_u")
+    nobody_left = (F.col("n_cv") + F.col("n_cu") > 0) & (here == total("n"))
+
+    def log_step(p: str) -> Column:
+        exposed = F.col(f"{p}_risk_v") + F.col(f"{p}_risk_u") - total(p, "ed")
+        share = F.try_divide(total(p, "c"), exposed)
+        return F.when(nobody_left | (total("n", "c") == 0), 0.0).otherwise(F.log(1 - share))
+
     ended = F.coalesce(F.max(nobody_left).over(past), F.lit(False))
-    survival = F.when(ended, 0.0).otherwise(F.exp(F.coalesce(F.sum(log_step).over(past), F.lit(0.0))))
-    with_survival = staged.withColumn("uncensored", survival)
+    survival = {
+        f"{p}_free": F.when(ended, 0.0).otherwise(
+            F.exp(F.coalesce(F.sum(log_step(p)).over(past), F.lit(0.0)))
+        )
+        for p in prefixes
+    }
+    staged = staged.withColumns(survival)
+
+    def free(p: str) -> Column:
+        return F.col(f"{p if weighted_censoring else 'n'}_free")
+
     dead = {
-        a: F.coalesce(
-            F.sum(F.try_divide(F.col(f"d{a}"), F.col("uncensored"))).over(past), F.lit(0.0)
+        f"{p}_dead_{a}": F.coalesce(
+            F.sum(F.try_divide(F.col(f"{p}_d{a}"), free(p))).over(past), F.lit(0.0)
         )
+        for p in prefixes
         for a in "vu"
     }
-    return with_survival.select(
-        *keys, "time", "n_events", "ev", "eu",
-        *[(F.col(f"at_risk_{a}") + F.col("uncensored") * dead[a]).alias(f"risk_{a}") for a in "vu"],
-    ).where("n_events > 0")
+    staged = staged.withColumns(dead).where(F.col("n_ev") + F.col("n_eu") > 0)
+    analyses = [
+        F.struct(
+            F.lit(name).alias("analysis"),
+            *[F.col(f"{p}_e{a}").cast("double").alias(f"e{a}") for a in "vu"],
+            *[(F.col(f"{p}_risk_{a}") + free(p) * F.col(f"{p}_dead_{a}")).alias(f"risk_{a}")
+              for a in "vu"],
+        )
+        for name, p in weightings.items()
+    ]
+    return staged.select(
+        *keys,
+        "time",
+        (F.col("n_ev") + F.col("n_eu")).alias("n_events"),
+        F.explode(F.array(*analyses)).alias("a"),
+    ).select(*keys, "a.analysis", "time", "n_events", "a.ev", "a.eu", "a.risk_v", "a.risk_u")
+
+
+def tied_events(n: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The events of all days in blocks: the day of each and the share k/n before it."""
+    ends = np.cumsum(n)
+    for start in range(0, int(ends[-1]), block):
+        event = np.arange(start, min(start + block, int(ends[-1])))
+        day = np.searchsorted(ends, event, side="right")
+        yield day, (event - (ends[day] - n[day])) / n[day]
 
 
 def newton(
-    n: np.ndarray, ev: np.ndarray, eu: np.ndarray, rv: np.ndarray, ru: np.ndarray,
-    steps: int = 50, block: int = 1 << 20,
+    n: np.ndarray, ev: np.ndarray, eu: np.ndarray, rv: np.ndarray, ru: np.ndarray, steps: int = 50
 ) -> tuple[float, float, bool]:
     """Log hazard ratio of the arm, its standard error and whether the steps settled.
 
@@ -73,16 +109,13 @@ def newton(
     """
     beta, info = 0.0, 0.0
     for _ in range(steps):
-        grow = np.exp(beta)
         score, info = float(ev.sum()), 0.0
-        for i in range(len(n)):
-            mean_weight = (ev[i] + eu[i]) / n[i]
-            for start in range(0, int(n[i]), block):
-                k = np.arange(start, min(start + block, int(n[i]))) / n[i]
-                top = (rv[i] - k * ev[i]) * grow
-                share = top / (top + ru[i] - k * eu[i])
-                score -= mean_weight * share.sum()
-                info += mean_weight * (share * (1 - share)).sum()
+        for day, gone in tied_events(n):
+            top = (rv[day] - gone * ev[day]) * np.exp(beta)
+            share = top / (top + ru[day] - gone * eu[day])
+            weight = (ev[day] + eu[day]) / n[day]
+            score -= float(weight @ share)
+            info += float(weight @ (share * (1 - share)))
         if not info > 0:
             return np.nan, np.nan, False
         step = float(np.clip(score / info, -2.0, 2.0))
@@ -131,3 +164,18 @@ def fine_gray(risk: DataFrame, keys: list[str]) -> DataFrame:
     return fitted.select(
         *[F.when(~F.isnan(c), F.col(c)).alias(c) if c in numbers else F.col(c) for c in fitted.columns]
     )
+
+
+def estimate(
+    sums: DataFrame,
+    keys: list[str],
+    weightings: dict[str, str],
+    min_events: int = 1,
+    weighted_censoring: bool = True,
+) -> DataFrame:
+    """Fine-Gray estimates of the analyses with enough events, from day sums."""
+    risk = risk_sets(sums, keys, weightings, weighted_censoring)
+    one = [*keys, "analysis"]
+    events = F.sum("n_events").over(Window.partitionBy(*one))
+    gated = risk.withColumn("_events", events).where(F.col("_events") >= min_events)
+    return fine_gray(gated.drop("_events"), one)

@@ -10,7 +10,7 @@ over everybody, less the replaced rows, plus the rows that replace them.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -115,7 +115,8 @@ def event_rows(population: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Study rows of the persons who are in an outcome cohort, for every analysis.
 
     ``outcomes`` comes from ``composite_outcomes``. ``time`` and ``event`` belong to
-    the row, ``base_time`` and ``base_event`` to the follow-up it replaces.
+    the row, ``base_time`` and ``base_event`` to the person's follow-up, which the first
+    row of a person in a cohort ``replaces``.
     """
     def served(arm: str) -> Column:
         lists = F.lit(None).cast("array<struct<censoring:string,variant:string>>")
@@ -129,7 +130,12 @@ def event_rows(population: DataFrame, outcomes: DataFrame) -> DataFrame:
             lists = F.when(F.col("source") == source, wanted).otherwise(lists)
         return lists
 
-    joined = outcomes.withColumnRenamed("censoring", "source").join(population, "person_id")
+    # A person's rows of one analysis all come from one cohort, so the first of them is
+    # found before the rows are copied to the analyses.
+    cohort = ["person_id", "outcome", "censoring", "risk_window"]
+    place = F.row_number().over(Window.partitionBy(*cohort).orderBy("covid_date", "outcome_date"))
+    first = outcomes.select(*cohort, "covid_date", "outcome_date", (place == 1).alias("replaces"))
+    joined = first.withColumnRenamed("censoring", "source").join(population, "person_id")
     cells = F.when(F.col("group") == VACCINATED, served(VACCINATED)).otherwise(served(UNVACCINATED))
     rows = joined.select("*", F.explode(cells).alias("cell")).select(
         "*", "cell.censoring", "cell.variant"
@@ -184,104 +190,103 @@ def censor_violations(rows: DataFrame) -> DataFrame:
     )
 
 
+MEASURES = [f"{code}{arm}" for code in "edc" for arm in "vu"]
+
+
+def _day_measures(n: Column, weights: dict[str, Column], group: Column, event: Column) -> list[Column]:
+    """Sums by event code (e, d, c) and arm (v, u): counts ``n_ev`` ..., weights ``<name>_ev`` ..."""
+    codes = {"e": EVENT, "d": DEATH, "c": CENSORED}
+    arms = {"v": VACCINATED, "u": UNVACCINATED}
+    sums = []
+    for code, value in codes.items():
+        for arm, name in arms.items():
+            here = (event == value) & (group == name)
+            sums.append(F.sum(F.when(here, n).otherwise(0)).alias(f"n_{code}{arm}"))
+            for w, column in weights.items():
+                sums.append(F.sum(F.when(here, column).otherwise(0.0)).alias(f"{w}_{code}{arm}"))
+    return sums
+
+
 def risk_sums(
     base: DataFrame,
     rows: DataFrame,
     cells: DataFrame,
     keys: list[str],
     limited: Column,
-    weightings: dict[str, str],
+    weights: list[str],
     strata: list[str] | None = None,
     min_time: int = 1,
 ) -> DataFrame:
     """Counts and weights per analysis and day of the full study tables.
 
     ``base`` from :func:`follow_up`, ``rows`` from :func:`event_rows`. ``cells`` lists
-    the analyses (columns ``keys``; a short fixed list), ``limited`` says from a cell
-    and arm whether a dose ends follow-up. ``strata`` are columns of ``base`` and
-    ``rows`` that separate populations. One row per stratum, weighting, cell and day.
+    the analyses (columns ``keys``; a short list), ``limited`` says for a cell whether
+    a dose ends the follow-up of its vaccinated. ``strata`` are columns of ``base`` and
+    ``rows`` that separate populations. One row per stratum, cell and day with counts
+    ``n_ev`` ... and, per column of ``weights``, sums ``<column>_ev`` ...; the letters
+    are event, death, censored and vaccinated, unvaccinated.
     """
     strata = strata or []
-    arms = {"v": VACCINATED, "u": UNVACCINATED}
-    codes = {"e": EVENT, "d": DEATH, "c": CENSORED}
-    weight_cols = sorted(set(weightings.values()))
-    cell, day = [*strata, *keys], ["group", "time", "event"]
+    cell = [*strata, *keys]
+    columns = [f"{p}_{m}" for p in ("n", *weights) for m in MEASURES]
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    # everybody, once per day: a table bounded by strata x days x 9
-    day_sums = (
+    # everybody, once per day: two rows per stratum and day, by the vaccinated's rule
+    serves = F.when(
+        F.col("group") == VACCINATED, F.array(F.col("limited"))
+    ).otherwise(F.array(F.lit(False), F.lit(True)))
+    days = (
         base.where(F.col("time") >= min_time)
-        .groupBy(*strata, "limited", *day)
-        .agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in weight_cols])
+        .select("*", F.explode(serves).alias("dose_limits"))
+        .groupBy(*strata, "dose_limits", "time")
+        .agg(*_day_measures(F.lit(1), {w: F.col(w).cast("double") for w in weights},
+                            F.col("group"), F.col("event")))
     )
-    both_arms = F.explode(F.array(*[F.lit(a) for a in arms.values()]))
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     everybody = (
-        cells.select("*", both_arms.alias("group")).withColumn("limited", limited)
+        cells.withColumn("dose_limits", limited)
         .repartition(tasks, *keys)
-        .join(F.broadcast(day_sums), ["group", "limited"])
-        .select(*cell, *day, "n", *weight_cols)
+        .join(F.broadcast(days), "dose_limits")
+        .select(*cell, "time", *columns)
     )
 
     # persons with an outcome: their rows, less their follow-up once per analysis
-    first = F.row_number().over(
-        Window.partitionBy(*cell, "person_id").orderBy("time", "event")
-    ) == 1
     change = F.array(
         F.struct(F.lit(1).alias("sign"), F.col("time").alias("t"), F.col("event").alias("e")),
-        F.when(first, F.struct(F.lit(-1).alias("sign"), F.col("base_time").alias("t"),
-                               F.col("base_event").alias("e"))),
+        F.when(F.col("replaces"), F.struct(F.lit(-1).alias("sign"), F.col("base_time").alias("t"),
+                                           F.col("base_event").alias("e"))),
     )
+    sign = F.col("x.sign")
     changes = (
         rows.withColumn("change", change)
-        .select(*cell, "group", *weight_cols, F.explode(F.array_compact("change")).alias("x"))
+        .select(*cell, "group", *weights, F.explode(F.array_compact("change")).alias("x"))
         .where(F.col("x.t") >= min_time)
-        .groupBy(*cell, "group", F.col("x.t").alias("time"), F.col("x.e").alias("event"))
-        .agg(
-            F.sum(F.col("x.sign").cast("bigint")).alias("n"),
-            *[F.sum(F.col(c).cast("double") * F.col("x.sign")).alias(c) for c in weight_cols],
-        )
+        .groupBy(*cell, F.col("x.t").alias("time"))
+        .agg(*_day_measures(sign, {w: F.col(w).cast("double") * sign for w in weights},
+                            F.col("group"), F.col("x.e")))
+        .repartition(tasks, *keys)
     )
 
-    # both parts are bounded by analyses x days; one move by analysis serves the sums
-    # here and the windows of the risk sets
-    parts = everybody.unionByName(changes).repartition(*cell)
-    sums = []
-    for code, value in codes.items():
-        for arm, name in arms.items():
-            here = (F.col("event") == value) & (F.col("group") == name)
-            sums.append(F.sum(F.when(here, F.col("n")).otherwise(0)).alias(f"n_{code}{arm}"))
-            for c in weight_cols:
-                sums.append(F.sum(F.when(here, F.col(c)).otherwise(0.0)).alias(f"{c}_{code}{arm}"))
-    per_day = parts.groupBy(*cell, "time").agg(*sums)
-
-    def weighting(name: str, column: str) -> Column:
-        fields = [F.lit(name).alias("analysis")]
-        for code in codes:
-            for arm in arms:
-                # no person left: exactly zero, whatever the subtraction left behind
-                some = F.col(f"n_{code}{arm}") > 0
-                fields.append(
-                    F.when(some, F.col(f"{column}_{code}{arm}")).otherwise(0.0).alias(f"{code}{arm}")
-                )
-        return F.struct(*fields)
-
-    counts = [f"n_{code}{arm}" for code in codes for arm in arms]
-    none_left = reduce(and_, [F.col(c) == 0 for c in counts])
-    exploded = per_day.where(~none_left).select(
-        *cell, "time", *counts,
-        F.explode(F.array(*[weighting(k, c) for k, c in weightings.items()])).alias("w"),
+    # Both parts are bounded by analyses x days and lie by analysis already.
+    total = everybody.unionByName(changes).groupBy(*cell, "time").agg(
+        *[F.sum(c).alias(c) for c in columns]
     )
-    return exploded.select(*cell, "w.analysis", "time", *counts,
-                           *[f"w.{code}{arm}" for code in codes for arm in arms])
+    # no person left: exactly zero, whatever the subtraction left behind
+    exact = [
+        F.when(F.col(f"n_{m}") > 0, F.col(f"{w}_{m}")).otherwise(0.0).alias(f"{w}_{m}")
+        for w in weights for m in MEASURES
+    ]
+    counts = [f"n_{m}" for m in MEASURES]
+    somebody = reduce(or_, [F.col(c) > 0 for c in counts])
+    return total.where(somebody).select(*cell, "time", *counts, *exact)
 
 
 def study_sums(population: DataFrame, outcomes: DataFrame, config: StudyConfig,
-               weightings: dict[str, str], strata: list[str] | None = None) -> DataFrame:
+               weights: list[str], strata: list[str] | None = None) -> DataFrame:
     """Day sums of all analyses of the study."""
     spark = population.sparkSession
     return risk_sums(
         follow_up(population), event_rows(population, outcomes), analysis_cells(spark), CELL,
-        dose_ends(F.col("censoring")), weightings, strata, config.min_time,
+        F.col("censoring").isin(*DOSE_CENSORED), weights, strata, config.min_time,
     )
 
 
@@ -316,14 +321,15 @@ def control_rows(population: DataFrame, first: DataFrame) -> DataFrame:
     """
     dated = first.groupBy("person_id", "outcome").agg(F.min("event_date").alias("event_date"))
     rows = dated.join(population, "person_id").withColumn("limited", dose_ends())
+    rows = rows.withColumn("replaces", F.lit(True))
     return _with_times(rows, "event_date")
 
 
 def control_sums(population: DataFrame, first: DataFrame, nco: DataFrame, config: StudyConfig,
-                 weightings: dict[str, str], strata: list[str] | None = None) -> DataFrame:
+                 weights: list[str], strata: list[str] | None = None) -> DataFrame:
     """Day sums of all negative controls, those without an event included."""
     cells = nco.select(underscored(F.col("OutcomeName")).alias("outcome")).distinct()
     return risk_sums(
         follow_up(population), control_rows(population, first), cells, ["outcome"],
-        dose_ends(), weightings, strata, config.min_time,
+        F.lit(False), weights, strata, config.min_time,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.config import STRATUM_IDS, StudyConfig
@@ -16,7 +16,8 @@ from episodica.sources.sinks import export_results
 from episodica.sources.stages import StageStore
 
 MAIN = "any"
-ANALYSES = {"crude": "one", "adjusted": "weight"}
+ANALYSES = {"crude": "n", "adjusted": "weight"}
+WEIGHTS = ["weight"]
 WEIGHTINGS = {"before": "one", "after": "weight"}
 GRID = ["population", *timetoevent.CELL]
 
@@ -76,14 +77,6 @@ def balance_of(covariates: DataFrame, scores: DataFrame) -> DataFrame:
     return balance.before_after(balance.balance_table(*kinds, persons, WEIGHTINGS))
 
 
-def estimate(sums: DataFrame, keys: list[str], min_events: int) -> DataFrame:
-    """Fine-Gray estimates of the analyses with enough events."""
-    risk = survival.risk_sets(sums, keys)
-    total = F.sum("n_events").over(Window.partitionBy(*keys))
-    gated = risk.withColumn("total", total).where(F.col("total") >= min_events).drop("total")
-    return survival.fine_gray(gated, keys)
-
-
 def run_study(
     cdm: Cdm,
     nco: DataFrame,
@@ -126,10 +119,11 @@ def run_study(
     for name in balances:
         mine = populations.where(F.col("population") == name)
         first = timetoevent.first_controls(cdm, nco, mine, config.salts)
-        part = timetoevent.control_sums(mine, first, nco, config, ANALYSES, ["population"])
+        part = timetoevent.control_sums(mine, first, nco, config, WEIGHTS, ["population"])
         control_sums = part if control_sums is None else control_sums.unionByName(part)
-    keys = ["population", "outcome", "analysis"]
-    controls = store.save(estimate(control_sums, keys, 1), "controls")
+    controls = store.save(
+        survival.estimate(control_sums, ["population", "outcome"], ANALYSES), "controls"
+    )
     known = controls.where("analysis = 'adjusted'").withColumnRenamed("log_hr", "log_rr")
     model = store.save(calibration.fit_error_model(known, ["population"]), "error_model")
 
@@ -138,8 +132,8 @@ def run_study(
         timetoevent.event_counts(timetoevent.event_rows(populations, named), GRID, config),
         "event_counts",
     )
-    sums = timetoevent.study_sums(populations, named, config, ANALYSES, ["population"])
-    fitted = store.save(estimate(sums, [*GRID, "analysis"], config.min_events), "fitted")
+    sums = timetoevent.study_sums(populations, named, config, WEIGHTS, ["population"])
+    fitted = store.save(survival.estimate(sums, GRID, ANALYSES, config.min_events), "fitted")
     same = [fitted[k].eqNullSafe(counts[k]) for k in GRID]
     estimates = store.save(
         counts.where("enough").join(fitted, same, "left").select(

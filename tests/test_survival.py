@@ -40,14 +40,16 @@ def simulate(spark, n=400, seed=1):
 
 def dense_rows(population, outcomes, censoring, variant, outcome, window):
     """The study table of one analysis as the definition reads."""
-    rows = []
+    rows, of_person = [], {}
+    for o in outcomes:
+        if o.outcome == outcome and o.risk_window == window:
+            of_person.setdefault(o.person_id, []).append(o)
     for p in population:
         limited = p.group == "unvaccinated" or censoring in ("vaccine", "both")
         source = censoring
         if variant == "full" and p.group == "unvaccinated":
             source = {"none": "vaccine", "covid": "both"}[censoring]
-        mine = [o for o in outcomes if o.person_id == p.person_id and o.outcome == outcome
-                and o.risk_window == window and o.censoring == source]
+        mine = [o for o in of_person.get(p.person_id, []) if o.censoring == source]
         for o in mine or [None]:
             dates = [p.death_date, p.leave_date, o and o.covid_date, p.next_vaccine if limited else None]
             known = [d for d in dates if d]
@@ -108,12 +110,11 @@ def simulated(spark):
 @pytest.mark.parametrize("weighted", [True, False])
 def test_estimates_equal_row_level(spark, simulated, weighted):
     population, outcomes = simulated
-    sums = te.study_sums(population, outcomes, StudyConfig(), {"crude": "one", "adjusted": "weight"})
-    keys = [*te.CELL, "analysis"]
-    risk = su.risk_sets(sums, keys, weighted_censoring=weighted)
+    sums = te.study_sums(population, outcomes, StudyConfig(), ["weight"])
+    analyses = {"crude": "n", "adjusted": "weight"}
     fitted = {
         (r.censoring, r.variant, r.outcome, r.risk_window, r.analysis): r
-        for r in su.fine_gray(risk, keys).collect()
+        for r in su.estimate(sums, te.CELL, analyses, 1, weighted).collect()
     }
     persons, events = population.collect(), outcomes.collect()
     cells = [("none", "partial", "DVT", 1), ("none", "full", "DVT", 2), ("covid", "full", "HF", 3),
@@ -196,9 +197,8 @@ def estimate(spark, rows):
     names = [f"{c}{a}" for c in "edc" for a in "vu"]
     data = [(1, t, *[s[n][0] for n in names], *[s[n][1] for n in names]) for t, s in sums.items()]
     schema = "k int, time int, " + ", ".join(f"n_{n} long" for n in names) + ", " + ", ".join(
-        f"{n} double" for n in names)
-    risk = su.risk_sets(spark.createDataFrame(data, schema), ["k"])
-    return su.fine_gray(risk, ["k"]).collect()
+        f"w_{n} double" for n in names)
+    return su.estimate(spark.createDataFrame(data, schema), ["k"], {"a": "w"}).collect()
 
 
 def test_no_deaths_is_a_plain_cox_model(spark):
@@ -242,7 +242,7 @@ def test_controls_of_one_name_take_the_first_day(spark):
         [(1, 1, "A", day(20)), (1, 2, "A", day(10)), (2, 3, "B", day(5))],
         "person_id long, ConceptId long, outcome string, event_date date")
     nco = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3), ("C c", 4)], "OutcomeName string, ConceptId long")
-    sums = te.control_sums(population, first, nco, StudyConfig(), {"crude": "one"})
+    sums = te.control_sums(population, first, nco, StudyConfig(), [])
     got = {(r.outcome, r.time): (r.n_ev, r.n_eu, r.n_cv, r.n_cu) for r in sums.collect()}
     assert got == {("A", 10): (1, 0, 0, 0), ("A", 90): (0, 0, 0, 1), ("B", 5): (0, 1, 0, 0),
                    ("B", 90): (0, 0, 1, 0), ("C_c", 90): (0, 0, 1, 1)}
