@@ -622,6 +622,15 @@ oracle("study_table", f"""
 select {STUDY_COLUMNS} from dense_valid where population = 'any' and covid_date is not null""")
 oracle("study_table_full", f"""
 select {STUDY_COLUMNS} from dense_valid where population = 'any' and covid_date is not null and variant = 'full'""")
+oracle("study_table_first", f"""
+select {STUDY_COLUMNS} from (
+  select *, row_number() over (partition by population, censoring, variant, outcome, risk_window, person_id
+                               order by covid_date, outcome_date) place
+  from dense where covid_date is not null)
+where population = 'any' and place = 1 and time >= 1""")
+oracle("dropped_rows", f"""
+select {GRID}, count(*) n_rows, count(distinct person_id) n_persons from dense
+where covid_date is not null and (time < 1 or time is null) group by all""")
 oracle("study_table_totals", _totals(GRID, "dense_valid"))
 oracle("censor_violations", """
 select censoring, variant, count(*) n_rows,

@@ -599,6 +599,12 @@ def lasso_selected(s: Study) -> DataFrame:
     return s.selected
 
 
+@query
+def lasso_at_penalty(s: Study) -> DataFrame:
+    """Flags left at a small penalty, whatever the cross-validation prefers."""
+    return ps.lasso_selected(s.flag_vectors, s.flag_names, 0.01, s.config.lasso_tol)
+
+
 @query
 def ps_sample(s: Study) -> DataFrame:
     return ps.sample_persons(s.individuals, SAMPLE_SIZE, s.config.seed)
@@ -744,6 +750,17 @@ def study_table_totals(s: Study) -> DataFrame:
     return _totals(s.sums, GRID)
 
 
+@query
+def study_table_first(s: Study) -> DataFrame:
+    """One row per person and analysis: the first infection alone counts."""
+    return _rows(te.event_rows(s.weighted, s.named, first_event_only=True))
+
+
+@query
+def dropped_rows(s: Study) -> DataFrame:
+    return te.dropped_rows(te.event_rows(s.populations, s.named), GRID, s.config)
+
+
 @query
 def censor_violations(s: Study) -> DataFrame:
     return te.censor_violations(te.event_rows(s.population, s.named))

@@ -111,9 +111,13 @@ def _with_times(rows: DataFrame, event_date: str) -> DataFrame:
     )
 
 
-def event_rows(population: DataFrame, outcomes: DataFrame) -> DataFrame:
+def event_rows(
+    population: DataFrame, outcomes: DataFrame, first_event_only: bool = False
+) -> DataFrame:
     """Study rows of the persons who are in an outcome cohort, for every analysis.
 
+    A person with several infections has several rows, unless ``first_event_only``.
+
     ``outcomes`` comes from ``composite_outcomes``. ``time`` and ``event`` belong to
     the row, ``base_time`` and ``base_event`` to the person's follow-up, which the first
     row of a person in a cohort ``replaces``.
@@ -135,6 +139,8 @@ def event_rows(population: DataFrame, outcomes: DataFrame) -> DataFrame:
     cohort = ["person_id", "outcome", "censoring", "risk_window"]
     place = F.row_number().over(Window.partitionBy(*cohort).orderBy("covid_date", "outcome_date"))
     first = outcomes.select(*cohort, "covid_date", "outcome_date", (place == 1).alias("replaces"))
+    if first_event_only:
+        first = first.where("replaces")
     joined = first.withColumnRenamed("censoring", "source").join(population, "person_id")
     cells = F.when(F.col("group") == VACCINATED, served(VACCINATED)).otherwise(served(UNVACCINATED))
     rows = joined.select("*", F.explode(cells).alias("cell")).select(
@@ -175,6 +181,14 @@ def event_counts(rows: DataFrame, keys: list[str], config: StudyConfig = StudyCo
     return counts.withColumn("enough", enough & ~F.coalesce(needs, F.lit(False)))
 
 
+def dropped_rows(rows: DataFrame, keys: list[str], config: StudyConfig = StudyConfig()) -> DataFrame:
+    """Rows left out of each analysis: follow-up ends before ``min_time`` or has no end."""
+    late = F.col("time") < config.min_time
+    return rows.where(late | F.col("time").isNull()).groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("person_id").alias("n_persons")
+    )
+
+
 def censor_violations(rows: DataFrame) -> DataFrame:
     """Rows that count an event although the outcome came after a dose that censors.
 
