@@ -51,6 +51,12 @@ def concept_names(facts: DataFrame, concept: DataFrame) -> DataFrame:
     return used.join(concept.select("concept_id", "concept_name"), "concept_id", "left")
 
 
+def _named(rows: DataFrame, concept: DataFrame, salts: int) -> DataFrame:
+    """Rows with ``concept_name``, null if unknown. One concept may hold very many rows."""
+    names = concept.select("concept_id", "concept_name")
+    return salted_join(rows, names, "concept_id", ["person_id"], salts, "left")
+
+
 def _flags(
     facts: DataFrame,
     concept: DataFrame,
@@ -65,7 +71,7 @@ def _flags(
         .distinct()
     )
     return (
-        salted_join(seen, concept_names(facts, concept), "concept_id", ["person_id"], salts)
+        _named(seen, concept, salts)
         .select(
             "person_id",
             covariate_name(family, F.col("concept_name"), F.col("window")).alias("covariate"),
@@ -146,7 +152,7 @@ def alltime_counts(
     per_concept = rows.groupBy("person_id", "concept_id").agg(F.count("*").alias("n"))
     name = covariate_name(family, F.col("concept_name"), F.lit("allTime"))
     return (
-        salted_join(per_concept, concept_names(facts, concept), "concept_id", ["person_id"], salts)
+        _named(per_concept, concept, salts)
         .groupBy("person_id", name.alias("covariate"))
         .agg(F.sum("n").cast("double").alias("value"))
     )
@@ -332,10 +338,13 @@ def covariate_frequencies(discrete: DataFrame, individuals: DataFrame, share: fl
 def drop_rare(discrete: DataFrame, individuals: DataFrame, share: float) -> DataFrame:
     """Keep covariates of more than ``floor(share * persons)`` rows.
 
-    The list of kept names is bounded: at most (mean covariates per person) / share.
+    The list of kept names is bounded by (mean covariates per person) / share, so it is
+    broadcast unless the share is tiny.
     """
     kept = covariate_frequencies(discrete, individuals, share).where("frequent").select("covariate")
-    return discrete.join(F.broadcast(kept), "covariate", "left_semi")
+    return discrete.join(
+        F.broadcast(kept) if share >= 0.001 else kept, "covariate", "left_semi"
+    )
 
 
 def rare_summary(discrete: DataFrame, individuals: DataFrame, share: float) -> DataFrame:

@@ -35,19 +35,24 @@ def interval_join(
 
 
 def salted_join(
-    rows: DataFrame, lookup: DataFrame, on: str, salt_by: list[str], salts: int = 8
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: str,
+    salt_by: list[str],
+    salts: int = 8,
+    how: str = "inner",
 ) -> DataFrame:
     """Rows with the columns a small table holds for their key.
 
     When Spark's own size check lets it broadcast ``lookup`` the rows do not move;
     otherwise the rows of one key are spread over ``salts`` tasks by the columns
-    ``salt_by``, and the lookup rows are copied to each.
+    ``salt_by``, and the lookup rows are copied to each. ``how`` is inner or left.
     """
     if salts <= 1:
-        return rows.join(lookup, on)
+        return rows.join(lookup, on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"]).drop("_salt")
+    return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
 def person_join(

@@ -53,3 +53,21 @@ def test_entry_runs(spark):
         "cohort_definition_id", "subject_id", "cohort_start_date", "cohort_end_date"
     ]
     assert df.count() == 1948 + 1598 + 1590 + 1316
+
+
+@pytest.mark.parametrize(
+    "name", ["feat_condition", "feat_test", "outcome_cohorts", "population", "nco_first", "feat_alltime"]
+)
+def test_same_result_without_broadcast(spark, duck, name):
+    """The plan of large tables: sort-merge joins on salted and sliced keys."""
+    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for key in settings:
+        spark.conf.set(key, "-1")
+    try:
+        df = contract.queries()[name](spark, SF_DIR)
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+        ours = canonical(df.toPandas())
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert ours == canonical(duck.execute(contract.oracle_sql()[name]).df())

@@ -135,9 +135,12 @@ def test_hot_person_and_hot_concept_in_fact_joins(spark):
     facts = [(1, 7, day(d % 400)) for d in range(3000)] + [(p, 7, day(10)) for p in range(2, 40)]
     cdm = cdm_of(spark, concept=[(7, "hot")], condition_occurrence=facts)
     people = spark.createDataFrame([(p, day(300)) for p in range(1, 40)], "person_id long, index_date date")
+    unknown = cdm_of(spark, condition_occurrence=facts)
     for salts in (1, 8):
         flags = fe.condition_flags(cdm, people, salts)
         assert flags.count() == 3 + 38
+        nameless = fe.condition_flags(unknown, people, salts)
+        assert nameless.where("covariate like '%_NA_%'").count() == 3 + 38
         total = fe.alltime_counts(fe.condition_facts(cdm), cdm["concept"], people, fe.CONDITION, salts)
         assert dict(rows_of(total, "person_id", "value"))[1] == sum(1 for d in range(3000) if d % 400 < 300)
 
@@ -149,3 +152,9 @@ def test_rare_covariates(spark):
     assert {r.covariate for r in fe.drop_rare(flags, people, 0.005).collect()} == {"six"}
     summary = fe.rare_summary(flags, people, 0.005).first()
     assert (summary.n_covariates, summary.n_excluded, summary.threshold) == (2, 1, 5)
+
+
+def test_a_tiny_share_keeps_all_but_empty_names(spark):
+    people = spark.createDataFrame([(i, day(0)) for i in range(20)], "person_id long, index_date date")
+    flags = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "person_id long, covariate string, value double")
+    assert fe.drop_rare(flags, people, 0.0001).count() == 2
