@@ -9,7 +9,7 @@ their sets is ``PERCENT`` hundredths or more. Of each component only the first l
    are taken over the shingles that follow a sign other than a letter or digit, or a letter beyond Latin: which shingles
    these are depends on the text alone, so equal stretches choose the same ones, about one in six in prose and all in scripts
    without blanks. A pair of similarity 0.8 shares none of the 8 bands of 3 rows with probability 0.003.
-3. Pairs that share a band (see ``linking``) are verified on the full sets of all shingles.
+3. Pairs that share a band (see ``linking``) are verified on the full sets of the hashes of all shingles.
 4. Components come from union-find over tables.
 
 Null texts have no lines; empty lines stay. Equal doc_ids with equal texts are one document. Rows without doc_id come
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm.base import stage
 from episodica.llm.components import union_find
-from episodica.llm.linking import linked
+from episodica.llm.linking import linked, shared_members
 
 SHINGLE, MIN_CHARS, PERCENT, BANDS, ROWS = 8, 16, 80, 8, 3
 
@@ -69,17 +69,13 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.substr(wide, at, F.lit(2 * size)))))
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, percent: int, size: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    pairs = stage(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = lines.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = stage(texts.select("id", shingles(F.col("line"), size).alias("s")))
     a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(b, "b").join(a, "a")
+    both = both.where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
     shared = F.size(F.array_intersect("sa", "sb"))
-    longer = F.greatest(F.size("sa"), F.size("sb"))
-    both = pairs.join(b, "b").join(a, "a").where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * longer)
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
@@ -93,8 +89,15 @@ def removed_lines(
 ) -> DataFrame:
     """(doc_id, key, places): the lines of each document that are near copies of an earlier one."""
     lines = compared(lines_of(docs), min_chars)
-    members = stage(bands_of(lines, bands, rows, size))
-    components = linked(members, lambda pairs: _similar(pairs, lines, percent, size), union_find)
+    members = bands_of(lines, bands, rows, size)
+    shared = stage(shared_members(members))
+    texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sets = stage(texts.select("id", shingles(F.col("line"), size).alias("s")))
+
+    def elements(ids: DataFrame) -> DataFrame:
+        return sets.join(ids, "id", "left_semi").select("id", F.size("s").cast("long").alias("n"), F.explode("s").alias("h"))
+
+    components = linked(shared, lambda pairs: _similar(pairs, sets, percent), elements, union_find, percent)
     seen = lines.select("doc_id", "key", "place", "id").join(components, "id", "left")
     seen = seen.select("doc_id", "key", "place", F.coalesce("component", "id").alias("component"))
     first = seen.groupBy("component").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))

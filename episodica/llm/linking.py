@@ -1,8 +1,12 @@
 """Components of the similar pairs among the members of buckets, without making all pairs of a bucket.
 
-Every member of a bucket is first compared with the bucket's smallest id, its leader. A bucket of true near copies then
-is one star, and any further pair of it could tell nothing new. What is left are pairs of a bucket whose members lie in
-different components; these are compared too, so no similar pair that shares a bucket is lost.
+1. Every member of a bucket is compared with the bucket's smallest id, its leader. A bucket of true near copies then is
+   one star, and further pairs of it could tell nothing new.
+2. What is left are pairs of a bucket whose members lie in different components. For a link, a member must share at least
+   the asked percentage of its own set with a single member of another component, so as much of its set must occur
+   in other components at all. Members that fail this (heavily edited copies: their edits are theirs alone) have no
+   link left to find; once they are set aside, others fail too, until nothing changes. This loses no link.
+3. The few pairs that remain are compared one by one.
 """
 
 from __future__ import annotations
@@ -14,34 +18,49 @@ from pyspark.sql import functions as F
 
 from episodica.llm.base import stage
 
-Check = Callable[[DataFrame], DataFrame]
+Step = Callable[[DataFrame], DataFrame]
 
 
-def leader_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a shared bucket with the bucket's smallest id. ``members`` is (bucket, id)."""
-    shared = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("_last")).where("a < _last")
-    pairs = members.join(shared.drop("_last"), "bucket").where("id != a")
-    return pairs.select("a", F.col("id").alias("b")).distinct()
+def shared_members(members: DataFrame) -> DataFrame:
+    """Members (bucket, id) of the buckets that hold more than one id, with the smallest id of each."""
+    shared = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last"))
+    return members.join(shared.where("leader < _last").drop("_last"), "bucket").distinct()
 
 
-def open_pairs(members: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b): pairs of a bucket that lie in different components, the leaders' own pairs left out."""
-    shared = members.groupBy("bucket").agg(F.min("id").alias("_leader"), F.max("id").alias("_last")).where("_leader < _last")
-    inner = members.join(shared.drop("_last"), "bucket").where("id != _leader").drop("_leader").distinct()
-    inner = inner.join(components, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = inner.groupBy("bucket").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high")
-    inner = inner.join(mixed.select("bucket"), "bucket")
-    other = inner.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = inner.join(other, "bucket").where("id < b and c != d")
-    return pairs.select(F.col("id").alias("a"), "b").distinct()
+def contested(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """(bucket, id, c): members of the buckets that hold more than one component."""
+    named = shared.join(components, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high")
+    return named.join(mixed.select("bucket"), "bucket")
 
 
-def linked(members: DataFrame, similar: Check, components: Check) -> DataFrame:
+def still_open(elements: DataFrame, percent: int) -> DataFrame:
+    """Ids that may have a link into another component. ``elements``: (id, c, n, h), a row per element of each set."""
+    rows, before = stage(elements), None
+    while True:
+        foreign = rows.groupBy("h").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high")
+        alive = rows.join(foreign.select("h"), "h", "left_semi").groupBy("id", "n").agg(F.count("*").alias("k"))
+        alive = stage(alive.where(100 * F.col("k") >= percent * F.col("n")).select("id"))
+        now = alive.count()
+        if not now or now == before:
+            return alive
+        rows, before = stage(rows.join(alive, "id", "left_semi")), now
+
+
+def linked(shared: DataFrame, similar: Step, elements: Step, components: Step, percent: int) -> DataFrame:
     """(id, component) of all ids with a similar partner in a bucket.
 
-    ``members``: a stored table (bucket, id). ``similar`` keeps the pairs (a, b) that are links.
+    ``shared``: a stored table (bucket, id, leader). ``similar`` keeps the pairs (a, b) that are links; ``elements`` gives
+    (id, n, h) for a table of ids: the size of each set and a row per element.
     """
-    stars = stage(similar(leader_pairs(members)))
+    pairs = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stage(similar(pairs))
     found = components(stars)
-    more = stage(similar(open_pairs(members, found)))
+    rest = stage(contested(shared, found))
+    ids = rest.select("id", "c").distinct()
+    alive = still_open(elements(ids.select("id")).join(ids, "id"), percent)
+    rest = rest.join(alive, "id", "left_semi")
+    other = rest.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
+    pairs = rest.join(other, "bucket").where("id < b and c != d").select(F.col("id").alias("a"), "b").distinct()
+    more = stage(similar(pairs))
     return components(stars.union(more)) if more.take(1) else found

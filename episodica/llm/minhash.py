@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm.base import byte_slices, list_column, stage
 from episodica.llm.components import star_components
-from episodica.llm.linking import linked
+from episodica.llm.linking import linked, shared_members
 from episodica.llm.words import SPACED_LOWER, Powers, Words, cut, mix
 
 WORDS, BANDS, ROWS, PERCENT = 5, 24, 6, 85
@@ -161,6 +161,22 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(scan, "a long, b long")
 
 
+def _elements(texts: DataFrame, size: int) -> DataFrame:
+    """(id, n, h): a row per shingle of each node's set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for low, high, data, offsets in byte_slices(batch.column(1)):
+                sets = shingle_sets(cut(data, offsets, SPACED_LOWER, powers), size)
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                ids = batch.column(0)[low:high].to_numpy()
+                columns = np.repeat(ids, sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "h"])
+
+    return texts.select("node", "text").mapInArrow(scan, "id long, n long, h long")
+
+
 def groups(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, size: int = WORDS
 ) -> DataFrame:
@@ -177,16 +193,18 @@ def groups(
         )
     )
     members = signed.where("node is not null").select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))
+    shared = stage(shared_members(members))
+    wanted = shared.select(F.col("id").alias("node")).distinct().join(nodes.select("node", "doc_id", "key"), "node")
+    same = (docs["doc_id"].eqNullSafe(wanted["doc_id"])) & (F.xxhash64(docs["text"]) == wanted["key"])
+    texts = stage(docs.join(wanted, same).select("node", docs["text"]).dropDuplicates(["node"]))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        near = stage(_plausible(pairs, nodes, percent, bands * rows))
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        wanted = wanted.join(nodes.select("node", "doc_id", "key"), "node")
-        same = (docs["doc_id"].eqNullSafe(wanted["doc_id"])) & (F.xxhash64(docs["text"]) == wanted["key"])
-        texts = stage(docs.join(wanted, same).select("node", docs["text"]).dropDuplicates(["node"]))
-        return _confirm(near, texts, percent, size)
-
-    found = linked(members, similar, star_components)
+        return _confirm(stage(_plausible(pairs, nodes, percent, bands * rows)), texts, percent, size)
+
+    def elements(ids: DataFrame) -> DataFrame:
+        return _elements(texts.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), size)
+
+    found = linked(shared, similar, elements, star_components, percent)
     named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
