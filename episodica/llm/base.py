@@ -69,3 +69,20 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 def list_column(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list per row out of all values and where each row's values begin (and the last ones end)."""
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys, from batches sorted by them."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        columns = [whole.column(k).to_numpy() for k in keys]
+        change = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield whole.slice(a, b - a)
+        held = whole.slice(edges[-1]).combine_chunks()
+    if held is not None:
+        yield held

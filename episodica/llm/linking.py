@@ -5,20 +5,26 @@
 2. What is left are pairs of a bucket whose members lie in different components. For a link, a member must share at least
    the asked percentage of its own set with a single member of another component, so as much of its set must occur
    in other components at all. Members that fail this (heavily edited copies: their edits are theirs alone) have no
-   link left to find; once they are set aside, others fail too, until nothing changes. This loses no link.
-3. The few pairs that remain are compared one by one.
+   link left to find; once they are set aside, others fail too, until nothing changes. This loses no link. Before the last
+   step the same is asked of the elements that occur in partners of each size.
+3. Those that remain meet a second leader of their bucket, drawn by a hash, which joins the fragments of large groups.
+4. What is left is compared pair by pair: inside the tasks that hold the buckets (``compare``), or as a join. For the
+   join, pairs that may still be links share one of the rarest elements of both sets (prefix filtering): if no more than a
+   set's first ``n - ceil(n * percent / 100) + 1`` elements in a common order are looked at, every link shares one of them.
+   The order puts elements of one component first, then rare ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.llm.base import stage
 
 Step = Callable[[DataFrame], DataFrame]
+Compare = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def shared_members(members: DataFrame) -> DataFrame:
@@ -34,33 +40,88 @@ def contested(shared: DataFrame, components: DataFrame) -> DataFrame:
     return named.join(mixed.select("bucket"), "bucket")
 
 
-def still_open(elements: DataFrame, percent: int) -> DataFrame:
-    """Ids that may have a link into another component. ``elements``: (id, c, n, h), a row per element of each set."""
-    rows, before = stage(elements), None
+def foreign_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, c, n, h, f): elements that occur in several components, and in how many sets. ``rows``: (id, n, h)."""
+    own = rows.join(named, "id")
+    seen = own.groupBy("h").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count("*").alias("f"))
+    return own.join(seen.where("_low != _high").select("h", "f"), "h")
+
+
+def still_open(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(id, c): those of the named ids that may have a link into another component."""
+    before = None
+    while True:
+        alive = foreign_rows(rows, named).groupBy("id", "c", "n").agg(F.count("*").alias("k"))
+        named = stage(alive.where(100 * F.col("k") >= percent * F.col("n")).select("id", "c"))
+        now = named.count()
+        if not now or now == before:
+            return named
+        before = now
+
+
+def open_by_size(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """As ``still_open``, by the partner's size too: sets of n and m elements need (n + m) * percent / (100 + percent) in common.
+
+    Partners are taken by classes of size in steps of a fiftieth; the smallest size of a class gives its bound.
+    """
+    before = None
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.02)))
+    reach = F.log(F.lit(100.0 / percent)) / F.log(F.lit(1.02))
     while True:
-        foreign = rows.groupBy("h").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high")
-        alive = rows.join(foreign.select("h"), "h", "left_semi").groupBy("id", "n").agg(F.count("*").alias("k"))
-        alive = stage(alive.where(100 * F.col("k") >= percent * F.col("n")).select("id"))
-        now = alive.count()
+        own = stage(rows.join(named, "id").withColumn("w", size))
+        seen = own.groupBy("h", "w").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("m"))
+        least = seen.groupBy("w").agg(F.min("m").alias("m"))
+        seen = seen.drop("m").join(F.broadcast(least), "w")  # one row per class of size: at most 50 * ln(longest set)
+        met = own.alias("x").join(seen.alias("y"), F.expr("x.h = y.h and (y.low != x.c or y.high != x.c)"))
+        met = met.where(F.abs(F.col("x.w") - F.col("y.w")) <= reach + 1)
+        alive = met.groupBy("id", "c", "n", "y.w", "m").agg(F.count("*").alias("k"))
+        alive = alive.where((100 + percent) * F.col("k") >= percent * (F.col("n") + F.col("m")))
+        named = stage(alive.select("id", "c").distinct())
+        now = named.count()
         if not now or now == before:
-            return alive
-        rows, before = stage(rows.join(alive, "id", "left_semi")), now
+            return named
+        before = now
+
+
+def prefix_pairs(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share an element of both their prefixes and are of like size."""
+    mine = Window.partitionBy("id")
+    ranked = foreign_rows(rows, named).withColumn("k", F.count("*").over(mine))
+    ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy("f", "h")))
+    short = stage(ranked.where(F.col("rank") <= F.col("k") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "c", "n", "h"))
+    other = short.select("h", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
+    like = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = short.join(other, "h").where(F.expr("id < b and c != d") & like)
+    return pairs.select(F.col("id").alias("a"), "b").distinct()
 
 
-def linked(shared: DataFrame, similar: Step, elements: Step, components: Step, percent: int) -> DataFrame:
+def linked(
+    shared: DataFrame, similar: Step, elements: Step, components: Step, percent: int, compare: Compare | None = None
+) -> DataFrame:
     """(id, component) of all ids with a similar partner in a bucket.
 
     ``shared``: a stored table (bucket, id, leader). ``similar`` keeps the pairs (a, b) that are links; ``elements`` gives
-    (id, n, h) for a table of ids: the size of each set and a row per element.
+    (id, n, h) for a table of ids: the size of each set and a row per element. ``compare``, if given, does the last step
+    itself: it gets the rows of the ids left and their buckets (bucket, id, c) and gives links that join all similar ids.
     """
     pairs = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stage(similar(pairs))
-    found = components(stars)
-    rest = stage(contested(shared, found))
-    ids = rest.select("id", "c").distinct()
-    alive = still_open(elements(ids.select("id")).join(ids, "id"), percent)
-    rest = rest.join(alive, "id", "left_semi")
-    other = rest.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = rest.join(other, "bucket").where("id < b and c != d").select(F.col("id").alias("a"), "b").distinct()
-    more = stage(similar(pairs))
-    return components(stars.union(more)) if more.take(1) else found
+    links = stage(similar(pairs))
+    found = components(links)
+    rest = contested(shared, found)
+    named = stage(rest.select("id", "c").distinct())
+    if not named.take(1):
+        return found
+    rows = stage(elements(named.select("id")))
+    named = still_open(rows, named, percent)
+    rest = stage(rest.join(named.select("id"), "id", "left_semi"))
+    lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("x"), "id", "c")).alias("l"))
+    pairs = rest.join(lead, "bucket").where("c != l.c").select(F.col("id").alias("b"), F.col("l.id").alias("a"))
+    links = stage(links.union(similar(pairs.select("a", "b").distinct())))
+    found = components(links)
+    named = contested(rest.select("bucket", "id"), found).select("id", "c").distinct()
+    named = open_by_size(rows, still_open(rows, named, percent), percent)
+    if compare:
+        more = stage(compare(rows.join(named.select("id"), "id", "left_semi"), rest.drop("c").join(named, "id")))
+    else:
+        more = stage(similar(prefix_pairs(rows, named, percent)))
+    return components(links.union(more)) if more.take(1) else found

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.base import byte_slices, list_column, stage
+from episodica.llm.base import byte_slices, hashed_parts, list_column, sorted_groups, stage
 from episodica.llm.components import star_components
 from episodica.llm.linking import linked, shared_members
 from episodica.llm.words import SPACED_LOWER, Powers, Words, cut, mix
@@ -177,6 +177,48 @@ def _elements(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(scan, "id long, n long, h long")
 
 
+def _compare(rows: DataFrame, members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) among members of a bucket that lie in different components, as one edge per member and bucket.
+
+    A large bucket is cut into blocks and each pair of blocks is a group, so a task holds two blocks of sets at most. The
+    shared elements of all pairs of a group are one matrix product; pairs never leave the task.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["bucket", "i", "j"]):
+            ids, c = (group.column(k).to_numpy() for k in ("id", "c"))
+            if len(ids) < 2 or (c == c[0]).all():
+                continue
+            sets = group.column("s").combine_chunks()
+            sizes = np.diff(np.asarray(sets.offsets))
+            elements, at = np.unique(np.asarray(sets.flatten()), return_inverse=True)
+            both = np.zeros((len(ids), len(ids)), dtype=np.float32)
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            for low in range(0, len(elements), 4096):
+                mine = (at >= low) & (at < low + 4096)
+                x = np.zeros((len(ids), 4096), dtype=np.float32)
+                x[owner[mine], at[mine] - low] = 1
+                both += x @ x.T
+            near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+            a, b = np.nonzero(np.triu(near & (c[:, None] != c[None, :]), 1))
+            root = ids.copy()
+            while len(a):  # smallest id within reach, over links found here
+                before = root.copy()
+                np.minimum.at(root, a, before[b])
+                np.minimum.at(root, b, before[a])
+                if (root == before).all():
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root != ids]), pa.array(root[root != ids])], ["a", "b"])
+
+    sets = rows.groupBy("id").agg(F.collect_list("h").alias("s"))
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cells = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("bucket", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    whole = cells.join(sets, "id").repartition(2 * hashed_parts(rows.sparkSession), "bucket", "i", "j")
+    return whole.sortWithinPartitions("bucket", "i", "j").mapInArrow(scan, "a long, b long").distinct()
+
+
 def groups(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, size: int = WORDS
 ) -> DataFrame:
@@ -204,7 +246,10 @@ def groups(
     def elements(ids: DataFrame) -> DataFrame:
         return _elements(texts.join(ids.withColumnRenamed("id", "node"), "node", "left_semi"), size)
 
-    found = linked(shared, similar, elements, star_components, percent)
+    def compare(rows: DataFrame, members: DataFrame) -> DataFrame:
+        return _compare(rows, members, percent)
+
+    found = linked(shared, similar, elements, star_components, percent, compare)
     named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

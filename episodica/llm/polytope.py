@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.base import hashed_parts, list_column, stage
+from episodica.llm.base import hashed_parts, list_column, sorted_groups, stage
 from episodica.llm.components import star_components
 
 TABLES, HASHES, PROBES, BLOCK, COSINE = 12, 3, 3, 1024, 0.98
@@ -111,23 +111,6 @@ def _placed(nodes: DataFrame, tables: int, hashes: int, probes: int) -> DataFram
     return nodes.select("node", "copies", "label", "vector").mapInArrow(scan, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal keys, from batches sorted by them."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        columns = [whole.column(k).to_numpy() for k in keys]
-        change = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for a, b in zip(edges, edges[1:]):
-            yield whole.slice(a, b - a)
-        held = whole.slice(edges[-1]).combine_chunks()
-    if held is not None:
-        yield held
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks()
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
@@ -149,7 +132,7 @@ def _compare(rows: DataFrame, tables: int, probes: int, cosine: float) -> DataFr
     keys = ["bucket", "i", "j"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, keys):
+        for group in sorted_groups(batches, keys):
             if group.num_rows < 2:
                 continue
             n, home = group.num_rows, group.column("home").to_numpy()
