@@ -62,21 +62,28 @@ def bands_of(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int =
     return signed.select(F.explode(F.array(*keys)).alias("bucket"), "id")
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The distinct shingles of a line."""
-    wide = F.encode(line, "UTF-16BE")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(wide) - 2 * size + 1), F.lit(2))
-    return F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.substr(wide, at, F.lit(2 * size)))))
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a")
-    both = both.where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+def with_shingles(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Adds s, the hashes of a line's shingles.
+
+    The generator makes Spark encode a line once; inlined into the lambda it would be encoded for every shingle.
+    """
+    wide = lines.select("*", F.explode(F.array(F.encode("line", "UTF-16BE"))).alias("_u"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("_u") - 2 * size + 1), F.lit(2))
+    hashes = F.transform(starts, lambda at: F.xxhash64(F.substr("_u", at, F.lit(2 * size))))
+    return wide.withColumn("s", hashes).drop("_u")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs whose full sets are similar enough. Lines travel as text, a tenth of their sets; sizes part most pairs."""
+    a = texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("line").alias("line_a"))
+    b = texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("line").alias("line_b"))
+    sizes = texts.select(F.col("id").alias("b"), F.col("n").alias("m"))
+    sized = pairs.join(sizes, "b").join(a, "a").where(100 * F.least("na", "m") >= percent * F.greatest("na", "m"))
+    both = sized.drop("m").join(b, "b")
+    both = with_shingles(both.withColumnRenamed("line_a", "line"), size).withColumnRenamed("s", "sa").drop("line")
+    both = with_shingles(both.withColumnRenamed("line_b", "line"), size)
+    shared = F.size(F.array_intersect("sa", "s"))
+    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def removed_lines(
@@ -92,12 +99,9 @@ def removed_lines(
     members = bands_of(lines, bands, rows, size)
     shared = stage(shared_members(members))
     texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    sets = stage(texts.select("id", shingles(F.col("line"), size).alias("s")))
-
-    def elements(ids: DataFrame) -> DataFrame:
-        return sets.join(ids, "id", "left_semi").select("id", F.size("s").cast("long").alias("n"), F.explode("s").alias("h"))
+    texts = stage(with_shingles(texts, size).select("id", "line", F.size(F.array_distinct("s")).alias("n")))
 
-    components = linked(shared, lambda pairs: _similar(pairs, sets, percent), elements, union_find, percent)
+    components = linked(shared, lambda pairs: _similar(pairs, texts, percent, size), union_find, percent)
     seen = lines.select("doc_id", "key", "place", "id").join(components, "id", "left")
     seen = seen.select("doc_id", "key", "place", F.coalesce("component", "id").alias("component"))
     first = seen.groupBy("component").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))

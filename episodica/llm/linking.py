@@ -8,17 +8,16 @@
    link left to find; once they are set aside, others fail too, until nothing changes. This loses no link. Before the last
    step the same is asked of the elements that occur in partners of each size.
 3. Those that remain meet a second leader of their bucket, drawn by a hash, which joins the fragments of large groups.
-4. What is left is compared pair by pair: inside the tasks that hold the buckets (``compare``), or as a join. For the
-   join, pairs that may still be links share one of the rarest elements of both sets (prefix filtering): if no more than a
-   set's first ``n - ceil(n * percent / 100) + 1`` elements in a common order are looked at, every link shares one of them.
-   The order puts elements of one component first, then rare ones.
+4. What is left is compared pair by pair, inside the tasks that hold the buckets (``compare``) or as a join.
+
+Steps 2 and 4 in tasks need the sets' elements as rows, which pays for long texts; without them the pairs are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.base import stage
@@ -41,10 +40,10 @@ def contested(shared: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def foreign_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(id, c, n, h, f): elements that occur in several components, and in how many sets. ``rows``: (id, n, h)."""
+    """(id, c, n, h): elements that occur in several components. ``rows``: (id, n, h)."""
     own = rows.join(named, "id")
-    seen = own.groupBy("h").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count("*").alias("f"))
-    return own.join(seen.where("_low != _high").select("h", "f"), "h")
+    seen = own.groupBy("h").agg(F.min("c").alias("_low"), F.max("c").alias("_high"))
+    return own.join(seen.where("_low != _high").select("h"), "h")
 
 
 def still_open(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
@@ -54,7 +53,7 @@ def still_open(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
         alive = foreign_rows(rows, named).groupBy("id", "c", "n").agg(F.count("*").alias("k"))
         named = stage(alive.where(100 * F.col("k") >= percent * F.col("n")).select("id", "c"))
         now = named.count()
-        if not now or now == before:
+        if not now or (before and now > 0.95 * before):  # further rounds would cost more than they spare
             return named
         before = now
 
@@ -83,26 +82,20 @@ def open_by_size(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
         before = now
 
 
-def prefix_pairs(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that share an element of both their prefixes and are of like size."""
-    mine = Window.partitionBy("id")
-    ranked = foreign_rows(rows, named).withColumn("k", F.count("*").over(mine))
-    ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy("f", "h")))
-    short = stage(ranked.where(F.col("rank") <= F.col("k") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "c", "n", "h"))
-    other = short.select("h", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
-    like = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    pairs = short.join(other, "h").where(F.expr("id < b and c != d") & like)
-    return pairs.select(F.col("id").alias("a"), "b").distinct()
-
-
 def linked(
-    shared: DataFrame, similar: Step, elements: Step, components: Step, percent: int, compare: Compare | None = None
+    shared: DataFrame,
+    similar: Step,
+    components: Step,
+    percent: int,
+    elements: Step | None = None,
+    compare: Compare | None = None,
 ) -> DataFrame:
     """(id, component) of all ids with a similar partner in a bucket.
 
     ``shared``: a stored table (bucket, id, leader). ``similar`` keeps the pairs (a, b) that are links; ``elements`` gives
-    (id, n, h) for a table of ids: the size of each set and a row per element. ``compare``, if given, does the last step
-    itself: it gets the rows of the ids left and their buckets (bucket, id, c) and gives links that join all similar ids.
+    (id, n, h) for a table of ids: the size of each set and a row per element. ``compare`` does the last step: it gets the
+    rows of the ids left and their buckets (bucket, id, c) and gives links that join all similar ids. Without these two, no
+    member is set aside and the pairs left are joined by bucket.
     """
     pairs = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = stage(similar(pairs))
@@ -111,17 +104,23 @@ def linked(
     named = stage(rest.select("id", "c").distinct())
     if not named.take(1):
         return found
-    rows = stage(elements(named.select("id")))
-    named = still_open(rows, named, percent)
-    rest = stage(rest.join(named.select("id"), "id", "left_semi"))
+    if elements:
+        rows = stage(elements(named.select("id")))
+        rest = rest.join(still_open(rows, named, percent).select("id"), "id", "left_semi")
+    rest = stage(rest)
     lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("x"), "id", "c")).alias("l"))
     pairs = rest.join(lead, "bucket").where("c != l.c").select(F.col("id").alias("b"), F.col("l.id").alias("a"))
     links = stage(links.union(similar(pairs.select("a", "b").distinct())))
     found = components(links)
-    named = contested(rest.select("bucket", "id"), found).select("id", "c").distinct()
-    named = open_by_size(rows, still_open(rows, named, percent), percent)
-    if compare:
-        more = stage(compare(rows.join(named.select("id"), "id", "left_semi"), rest.drop("c").join(named, "id")))
+    rest = contested(rest.select("bucket", "id"), found)
+    if elements:
+        named = open_by_size(rows, still_open(rows, rest.select("id", "c").distinct(), percent), percent)
+        rest = rest.drop("c").join(named, "id")
+        more = compare(rows.join(named.select("id"), "id", "left_semi"), rest)
     else:
-        more = stage(similar(prefix_pairs(rows, named, percent)))
+        rest = stage(rest)
+        other = rest.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
+        pairs = rest.join(other, "bucket").where("id < b and c != d").select(F.col("id").alias("a"), "b")
+        more = similar(pairs.distinct())
+    more = stage(more)
     return components(links.union(more)) if more.take(1) else found

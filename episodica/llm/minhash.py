@@ -249,7 +249,7 @@ def groups(
     def compare(rows: DataFrame, members: DataFrame) -> DataFrame:
         return _compare(rows, members, percent)
 
-    found = linked(shared, similar, elements, star_components, percent, compare)
+    found = linked(shared, similar, star_components, percent, elements, compare)
     named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
