@@ -156,7 +156,7 @@ from (select stratum, cohort_start_date index_date, count(*) n from cohort join
 VIEWS["drawn"] = f"""
 select stratum, person_id, index_date, 'unvaccinated' grp
 from (select stratum, subject_id person_id,
-             cast('0x' || substr(md5(cast(subject_id as varchar) || '#{SEED}'), 1, 13) as bigint) / 4503599627370496.0 u
+             cast('0x' || substr(md5(cast(subject_id as varchar) || '#{SEED}#index:' || stratum), 1, 13) as bigint) / 4503599627370496.0 u
       from (select distinct subject_id from cohort where cohort_definition_id = 177), strata) p
 join date_shares using (stratum)
 where u >= below / total and u < (below + n) / total"""
@@ -580,7 +580,7 @@ join members using (person_id) group by person_id, grp""")
 
 oracle("ps_sample", f"""
 select person_id, index_date from members
-order by md5(cast(person_id as varchar) || '#{SEED}')[1:13], person_id limit 500""")
+order by md5(cast(person_id as varchar) || '#{SEED}#sample')[1:13], person_id limit 500""")
 oracle("uniform_draw", f"""
 select person_id, round(cast('0x' || substr(md5(cast(person_id as varchar) || '#{SEED}'), 1, 13) as bigint)
        / 4503599627370496.0, 9) u from members""")

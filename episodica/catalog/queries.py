@@ -17,6 +17,7 @@ from episodica.config import (
     VACCINATED,
 )
 from episodica.functions.random import uniform
+from episodica.functions.text import underscored
 from episodica.operators import balance as bal
 from episodica.operators import calibration as cal
 from episodica.operators import cohorts as co
@@ -308,6 +309,10 @@ def cohort_append(s: Study) -> DataFrame:
     sinks.replace_cohorts(s.cohort, path)
     for _ in range(2):  # the second time replaces the first
         sinks.replace_cohorts(s.staged_derived, path)
+    # A rerun that finds nobody for a cohort takes its old members away.
+    gone = s.cohort.limit(1).withColumn("cohort_definition_id", F.lit(9999))
+    sinks.replace_cohorts(gone, path)
+    sinks.replace_cohorts(gone.where("false"), path, ids=[9999])
     return sinks.read_cohorts(s.spark, path).groupBy("cohort_definition_id").agg(
         F.count("*").alias("n_rows"),
         F.min("cohort_start_date").alias("first_start"),
@@ -570,7 +575,8 @@ def reference_levels(s: Study) -> DataFrame:
 
 @query
 def pivot_small(s: Study) -> DataFrame:
-    names = [f"Control_{i}" for i in range(5)]
+    listed = s.nco.select(underscored(F.col("OutcomeName")).alias("name")).distinct()
+    names = sorted(r.name for r in listed.collect())  # the names of the list, whatever they are
     return s.controls.groupBy("person_id").pivot("outcome", names).agg(F.min("event_date"))
 
 

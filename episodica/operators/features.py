@@ -338,13 +338,10 @@ def covariate_frequencies(discrete: DataFrame, individuals: DataFrame, share: fl
 def drop_rare(discrete: DataFrame, individuals: DataFrame, share: float) -> DataFrame:
     """Keep covariates of more than ``floor(share * persons)`` rows.
 
-    The list of kept names is bounded by (mean covariates per person) / share, so it is
-    broadcast unless the share is tiny.
+    Spark broadcasts the kept names if their measured size allows, and splits a skewed name otherwise.
     """
     kept = covariate_frequencies(discrete, individuals, share).where("frequent").select("covariate")
-    return discrete.join(
-        F.broadcast(kept) if share >= 0.001 else kept, "covariate", "left_semi"
-    )
+    return discrete.join(kept, "covariate", "left_semi")
 
 
 def rare_summary(discrete: DataFrame, individuals: DataFrame, share: float) -> DataFrame:

@@ -169,8 +169,8 @@ def index_date_distribution(members: DataFrame) -> DataFrame:
 def assign_index_date(members: DataFrame, seed: int, bins: int = 4096) -> DataFrame:
     """Draw an index date for every unvaccinated person from those of the stratum's vaccinated.
 
-    A person's number in [0, 1) comes from a hash, so the draw does not depend on
-    partitioning. The date whose share interval holds it is found by an equi-join on
+    A person's number in [0, 1) comes from a hash that the stratum enters, so the draw does
+    not depend on partitioning nor on draws for other purposes. The date whose share interval holds it is found by an equi-join on
     equal-width bins; the date table has at most days + 2 * bins rows per stratum.
     """
     table = index_date_distribution(members).select(
@@ -184,7 +184,7 @@ def assign_index_date(members: DataFrame, seed: int, bins: int = 4096) -> DataFr
     )
     drawn = (
         members.where(F.col("group") == UNVACCINATED)
-        .withColumn("u", uniform("person_id", seed))
+        .withColumn("u", uniform("person_id", seed, F.concat(F.lit("index:"), "stratum")))
         .withColumn("bin", F.floor(F.col("u") * bins))
         .join(F.broadcast(table), ["stratum", "bin"])
         .where((F.col("u") >= F.col("lower")) & (F.col("u") < F.col("upper")))

@@ -24,7 +24,7 @@ def sample_persons(persons: DataFrame, size: int, seed: int, bins: int = 1 << 16
     the cut are taken whole and only the bin at the cut is ranked, so no task sees
     more than one bin.
     """
-    keyed = persons.withColumn("_u", uniform("person_id", seed)).withColumn(
+    keyed = persons.withColumn("_u", uniform("person_id", seed, "sample")).withColumn(
         "_bin", F.floor(F.col("_u") * bins).cast("int")
     )
     upto = Window.partitionBy(F.lit(1)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)

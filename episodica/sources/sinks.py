@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.sources.schemas import SCHEMAS, conform
 
 
-def replace_cohorts(cohorts: DataFrame, path: str, files_per_cohort: int = 1) -> None:
+def replace_cohorts(
+    cohorts: DataFrame, path: str, files_per_cohort: int = 1, ids: Iterable[int] | None = None
+) -> None:
     """Write cohorts into the cohort table; a cohort that is already there is replaced.
 
     The table is partitioned by cohort id. Only the partitions of the ids in
     ``cohorts`` change, so a rerun after a failure leaves the same table. Large
-    cohorts are written by ``files_per_cohort`` tasks each.
+    cohorts are written by ``files_per_cohort`` tasks each. ``ids`` names the cohorts
+    being replaced: those of them without rows now lose their old ones.
     """
     rows = conform(cohorts, "cohort").withColumn(
         "_part", F.pmod(F.xxhash64("subject_id"), F.lit(files_per_cohort))
@@ -26,6 +31,15 @@ def replace_cohorts(cohorts: DataFrame, path: str, files_per_cohort: int = 1) ->
         .partitionBy("cohort_definition_id")
         .parquet(path)
     )
+    if ids is not None:
+        present = {r[0] for r in cohorts.select("cohort_definition_id").distinct().collect()}
+        for cohort_id in set(ids) - present:
+            _remove(cohorts.sparkSession, f"{path}/cohort_definition_id={int(cohort_id)}")
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_cohorts(spark: SparkSession, path: str) -> DataFrame:

@@ -6,30 +6,16 @@ outlives the executors that wrote it and ends the lineage before it.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    A local session without one (tests) gets a temporary folder; on a cluster a
-    missing setting is an error, as a machine's own disk is not shared.
-    """
+    """The session's checkpoint folder, or a folder in the warehouse: both are shared by all executors."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="episodica-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path.rstrip("/") if path else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/episodica-stages"
 
 
 class StageStore:

@@ -137,3 +137,16 @@ def test_design_vector_by_hand(spark):
     assert len(one) == n + 4 and got[1].label == 1.0 and got[2].label == 0.0
     assert one[n - 2:].tolist() == [80.0, 0.0, 18628.0, 6400.0, 1.0, 1.0]
     assert two[n - 2:].tolist() == [0.0, 2.5, 18629.0, 0.0, 0.0, 0.0]
+
+
+def test_sample_folds_and_index_dates_are_drawn_independently(spark):
+    from episodica.functions.random import uniform
+
+    persons = spark.range(20000).select(F.col("id").alias("person_id"))
+    drawn = ps.sample_persons(persons, 4000, CONFIG.seed).select(
+        uniform("person_id", CONFIG.seed, "index:AZ").alias("u"), fold("person_id", 5, CONFIG.seed).alias("fold")
+    )
+    sizes = [r["count"] for r in drawn.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and min(sizes) > 650
+    low, mean, high = drawn.agg(F.min("u"), F.avg("u"), F.max("u")).first()
+    assert low < 0.01 and high > 0.99 and abs(mean - 0.5) < 0.03

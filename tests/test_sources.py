@@ -36,6 +36,9 @@ def test_replace_cohorts_touches_only_its_ids(spark, tmp_path):
         sinks.replace_cohorts(cohort_table(spark, [(15, 2, 7), (16, 2, 8)]), path, files_per_cohort=3)
     found = rows_of(sinks.read_cohorts(spark, path), "cohort_definition_id", "subject_id")
     assert found == [(4, 1), (15, 2), (16, 2)]
+    sinks.replace_cohorts(cohort_table(spark, [(15, 3, 7)]), path, ids=[15, 16])
+    found = rows_of(sinks.read_cohorts(spark, path), "cohort_definition_id", "subject_id")
+    assert found == [(4, 1), (15, 3)]
 
 
 def test_remap(spark):
