@@ -238,7 +238,7 @@ def groups(
     shared = stage(shared_members(members))
     wanted = shared.select(F.col("id").alias("node")).distinct().join(nodes.select("node", "doc_id", "key"), "node")
     same = (docs["doc_id"].eqNullSafe(wanted["doc_id"])) & (F.xxhash64(docs["text"]) == wanted["key"])
-    texts = stage(docs.join(wanted, same).select("node", docs["text"]).dropDuplicates(["node"]))
+    texts = stage(docs.join(wanted, same).select(wanted["node"], docs["text"]).dropDuplicates(["node"]))
 
     def similar(pairs: DataFrame) -> DataFrame:
         return _confirm(stage(_plausible(pairs, nodes, percent, bands * rows)), texts, percent, size)
