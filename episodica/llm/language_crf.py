@@ -197,7 +197,7 @@ LETTER = re.compile(r"[^\W\d_]")
 
 def _score(batch: pa.RecordBatch, at: int, model: Model, powers: Powers) -> tuple[list[str], list[float]]:
     names, scores = [], []
-    for low, high, data, offsets in byte_slices(batch.column(at)):
+    for low, high, data, offsets in byte_slices(batch.column(at), 1 << 20):
         words = cut(data, offsets, LETTERS, powers)
         total = np.zeros((high - low, len(model.labels)))
         if len(words.starts) and model.labels:
