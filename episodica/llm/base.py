@@ -45,6 +45,11 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def free_worker_caches() -> None:
+    """For scans that keep nothing: a worker that comes from another operator gives back what that one kept."""
+    sys.modules.pop("_episodica_worker_cache", None)
+
+
 def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about ``limit`` bytes, a longer text alone.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.base import byte_slices
+from episodica.llm.base import byte_slices, free_worker_caches
 from episodica.llm.words import Alphabet, Powers, Words, cut, mix
 
 LETTERS = Alphabet([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)], lower=True)
@@ -197,7 +197,7 @@ LETTER = re.compile(r"[^\W\d_]")
 
 def _score(batch: pa.RecordBatch, at: int, model: Model, powers: Powers) -> tuple[list[str], list[float]]:
     names, scores = [], []
-    for low, high, data, offsets in byte_slices(batch.column(at), 1 << 20):
+    for low, high, data, offsets in byte_slices(batch.column(at)):
         words = cut(data, offsets, LETTERS, powers)
         total = np.zeros((high - low, len(model.labels)))
         if len(words.starts) and model.labels:
@@ -234,6 +234,7 @@ def predict(docs: DataFrame, model: Model, carried: list[str] | None = None) ->
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transition))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
         own, powers = Model(*shared.value), Powers()
         for batch in batches:
             names, scores = _score(batch, columns.index("text"), own, powers)
