@@ -23,7 +23,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.base import stage
+from episodica.llm.base import hashed_parts, stage
 from episodica.llm.components import union_find
 from episodica.llm.linking import linked, shared_members
 
@@ -79,11 +79,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
     b = texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("line").alias("line_b"))
     sizes = texts.select(F.col("id").alias("b"), F.col("n").alias("m"))
     sized = pairs.join(sizes, "b").join(a, "a").where(100 * F.least("na", "m") >= percent * F.greatest("na", "m"))
-    both = sized.drop("m").join(b, "b")
+    # Dealt by number: a few short pairs would else be drawn into one task, and their sets are what takes the time.
+    both = sized.drop("m").repartition(hashed_parts(pairs.sparkSession), "b").join(b, "b")
     both = with_shingles(both.withColumnRenamed("line_a", "line"), size).withColumnRenamed("s", "sa").drop("line")
     both = with_shingles(both.withColumnRenamed("line_b", "line"), size)
+    # The same as 100 * shared >= percent * union, with the shared ones named (and so computed) once.
     shared = F.size(F.array_intersect("sa", "s"))
-    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    return both.where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def removed_lines(
@@ -96,13 +98,14 @@ def removed_lines(
 ) -> DataFrame:
     """(doc_id, key, places): the lines of each document that are near copies of an earlier one."""
     lines = compared(lines_of(docs), min_chars)
+    named = stage(lines.select("doc_id", "key", "place", "id"))
     members = bands_of(lines, bands, rows, size)
     shared = stage(shared_members(members))
     texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = stage(with_shingles(texts, size).select("id", "line", F.size(F.array_distinct("s")).alias("n")))
 
     components = linked(shared, lambda pairs: _similar(pairs, texts, percent, size), union_find, percent)
-    seen = lines.select("doc_id", "key", "place", "id").join(components, "id", "left")
+    seen = named.join(components, "id", "left")
     seen = seen.select("doc_id", "key", "place", F.coalesce("component", "id").alias("component"))
     first = seen.groupBy("component").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
     gone = seen.join(first.where("n > 1"), "component")
