@@ -1,10 +1,12 @@
 """Properties that hold for any input, on cases hypothesis chooses."""
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from episodica.operators.survival import newton, tied_events
+from episodica.operators.survival import newton, tie_sums
 
 days = st.lists(
     st.tuples(st.integers(1, 9), st.floats(0.05, 1), st.floats(0.05, 1), st.floats(0.5, 50), st.floats(0.5, 50)),
@@ -17,16 +19,49 @@ def arrays(rows):
     return n, ev, eu, ev + extra_v, eu + extra_u
 
 
+def newton_by_event(n, ev, eu, rv, ru, steps=50):
+    """The same steps with one entry per tied event."""
+    day = np.repeat(np.arange(len(n)), n.astype(int))
+    gone = np.concatenate([np.arange(k) / k for k in n])
+    weight, beta = ((ev + eu) / n)[day], 0.0
+    for _ in range(steps):
+        top = (rv[day] - gone * ev[day]) * np.exp(beta)
+        share = top / (top + ru[day] - gone * eu[day])
+        info = weight @ (share * (1 - share))
+        step = np.clip((ev.sum() - weight @ share) / info, -2.0, 2.0)
+        beta += step
+        if abs(step) < 1e-10:
+            break
+    return beta, info**-0.5
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 50), min_size=1, max_size=30), st.integers(1, 40))
-def test_blocks_hold_every_event_once(n, block):
-    n = np.array(n, float)
-    parts = list(tied_events(n, block))
-    day = np.concatenate([d for d, _ in parts])
-    gone = np.concatenate([g for _, g in parts])
-    assert np.array_equal(np.bincount(day, minlength=len(n)), n)
+@given(st.lists(st.tuples(st.integers(1, 300), st.floats(0, 1e6)), min_size=1, max_size=20))
+def test_tie_sums_equal_their_terms(rows):
+    n, extra = (np.array(c, float) for c in zip(*rows))
+    once, twice = tie_sums(n, n + extra)
     for i in range(len(n)):
-        assert np.allclose(np.sort(gone[day == i]), np.arange(n[i]) / n[i])
+        terms = 1 / (n[i] + extra[i] - np.arange(n[i]))
+        assert np.isclose(once[i], terms.sum(), rtol=1e-11) and np.isclose(twice[i], (terms**2).sum(), rtol=1e-11)
+
+
+@settings(max_examples=100, deadline=None)
+@given(days, st.sampled_from([1, 7, 40]))
+def test_newton_equals_one_entry_per_event(rows, times):
+    n, ev, eu, rv, ru = arrays(rows)
+    n = n * times
+    beta, se, _ = newton(n, ev, eu, rv, ru)
+    want, want_se = newton_by_event(n, ev, eu, rv, ru)
+    assert np.isclose(beta, want, atol=1e-9) and np.isclose(se, want_se, rtol=1e-9)
+
+
+def test_a_thousand_million_events_on_one_day():
+    big = [np.array([x], float) for x in (1e9, 6e8, 4e8, 4e9, 6e9)]
+    start = time.monotonic()
+    beta, se, settled = newton(*big)
+    assert time.monotonic() - start < 1 and settled
+    small, small_se = newton_by_event(*[c / 1e4 for c in big])
+    assert np.isclose(beta, small, atol=1e-4) and np.isclose(se * 100, small_se, rtol=1e-4)
 
 
 @settings(max_examples=100, deadline=None)
