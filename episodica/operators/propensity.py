@@ -77,8 +77,11 @@ def _fold_facts(vectors_long: DataFrame, persons: DataFrame, config: StudyConfig
 
 
 def null_loss(n: float, ny: float, n_out: float, ny_out: float) -> float:
-    """Mean log-loss on left-out persons of the share of vaccinated in the others."""
-    p = ny / n
+    """Mean log-loss on left-out persons of the share of vaccinated in the others.
+
+    A share of 0 or 1 is moved inside by 1e-15, as MLlib's log-loss does.
+    """
+    p = min(max(ny / n, 1e-15), 1 - 1e-15)
     return -(ny_out * math.log(p) + (n_out - ny_out) * math.log(1 - p)) / n_out
 
 
@@ -93,12 +96,15 @@ def lasso_path(
 
     A penalty at or above the largest gradient of the empty model gives the empty
     model, whose loss follows from counts; the model is fitted for the others only.
+    Folds without persons are left out; fewer than two folds are an error.
     ``vectors`` (person_id, label, features) should be a stage table.
     """
     spark = vectors.sparkSession
     facts = _fold_facts(flags, persons, config)
+    held_out = [r for r in facts if r.out < config.folds and r.n_out]
+    if len(held_out) < 2:
+        raise ValueError("cross-validation needs persons in at least two folds")
     entry = max((r.entry or 0.0) for r in facts)
-    held_out = [r for r in facts if r.out < config.folds]
     losses = [null_loss(r.n, r.ny, r.n_out, r.ny_out) for r in held_out]
     k = len(losses)
     mean = sum(losses) / k
@@ -109,18 +115,20 @@ def lasso_path(
     if fitted:
         lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=100, tol=config.lasso_tol)
         grid = ParamGridBuilder().addGrid(lr.regParam, fitted).build()
-        folded = vectors.withColumn("fold", fold("person_id", config.folds, config.seed))
+        present = F.array(*[F.lit(r.out) for r in held_out])
+        own = fold("person_id", config.folds, config.seed)
+        folded = vectors.withColumn("fold", (F.array_position(present, own) - 1).cast("int"))
         cv = CrossValidator(
             estimator=lr,
             estimatorParamMaps=grid,
             evaluator=MulticlassClassificationEvaluator(metricName="logLoss"),
-            numFolds=config.folds,
+            numFolds=k,
             foldCol="fold",
             parallelism=parallelism,
         ).fit(folded)
         # stdMetrics divides by the number of folds; the standard error needs n - 1
         rows += [
-            (x, float(m), float(s) / math.sqrt(config.folds - 1), True)
+            (x, float(m), float(s) / math.sqrt(k - 1), True)
             for x, m, s in zip(fitted, cv.avgMetrics, cv.stdMetrics)
         ]
     return spark.createDataFrame(rows, PATH_SCHEMA)

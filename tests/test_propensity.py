@@ -150,3 +150,20 @@ def test_sample_folds_and_index_dates_are_drawn_independently(spark):
     assert len(sizes) == 5 and min(sizes) > 650
     low, mean, high = drawn.agg(F.min("u"), F.avg("u"), F.max("u")).first()
     assert low < 0.01 and high > 0.99 and abs(mean - 0.5) < 0.03
+
+
+def test_folds_without_persons_are_left_out(spark, confounded):
+    x, arm, members, flags = confounded
+    left = members.where(fold("person_id", CONFIG.folds, CONFIG.seed) != 0)
+    vectors = mx.flag_vectors(left, flags, mx.covariate_names(flags)).cache()
+    few = StudyConfig(lambda_exponents=(0.0, -1.0, -0.5), folds=CONFIG.folds, lasso_tol=1e-8)
+    path = ps.lasso_path(vectors, flags, left, few).collect()
+    assert len(path) == len(few.lambdas())
+    assert any(r.fitted for r in path) and all(np.isfinite([r.mean_loss, r.se_loss]).all() for r in path)
+    with pytest.raises(ValueError):
+        ps.lasso_path(vectors, flags, left.where(fold("person_id", CONFIG.folds, CONFIG.seed) == 1), few)
+
+
+def test_loss_of_a_training_part_with_one_arm_is_finite():
+    assert ps.null_loss(10, 10, 5, 5) == pytest.approx(0, abs=1e-12)
+    assert ps.null_loss(10, 0, 5, 1) == pytest.approx(-np.log(1e-15) / 5, rel=1e-9)
