@@ -15,6 +15,8 @@ from episodica.llm.queries import word_bpe
 
 #: A document stays if the words' mean posterior for its language reaches this.
 LEAST_SCORE = 0.5
+#: Documents whose runs of five words have this Jaccard similarity, in hundredths, are near copies.
+SIMILAR_PERCENT = 80
 END_ID = 2
 
 
@@ -31,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, percent=SIMILAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,6 +174,20 @@ def test_minhash_groups(spark, docs, empty):
     assert minhash.groups(empty).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark):
+    words = [f"w{k}" for k in range(204)]
+    rows = []
+    for doc_id, edits in ((1, []), (2, [20, 60, 100, 140]), (3, [20, 60, 100, 140, 180])):
+        w = [f"{x}e{doc_id}" if k in edits else x for k, x in enumerate(words)]
+        rows.append((doc_id, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(200)} for _, t in rows]
+    share = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.80 <= share[1] < 0.85 and share[2] < 0.80
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert minhash.deduplicate(table).count() == 3
+    assert as_rows(corpus_pipeline.near_duplicates(spark, table, SF_DIR), "doc_id") == [(1,), (3,)]
+
+
 def test_many_edited_copies_keep_all_links(spark):
     """A large group of edited copies of one text, where most pairs are below the threshold."""
     draw, words = random.Random(1), BASE.split()
