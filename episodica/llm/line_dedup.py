@@ -2,7 +2,7 @@
 
 A text's lines end at line feeds. Lines are compared trimmed and in lower case; lines shorter than ``MIN_CHARS`` then are
 left alone. A line's set holds its distinct runs of ``SHINGLE`` characters; two lines are linked if the Jaccard similarity of
-their sets is ``PERCENT`` hundredths or more. Of each component only the first line (by doc_id, then place) stays.
+their sets is ``PERCENT`` hundredths or more. Of each component only the first line (by doc_id, place, then text) stays.
 
 1. Equal lines are one node, named by a 64-bit hash, so copies meet nowhere but in a count.
 2. Signatures: ``BANDS`` x ``ROWS`` minima of the shingles' hashes, each under its own xor mask (which orders the hashes anew). They
@@ -107,9 +107,10 @@ def removed_lines(
     components = linked(shared, lambda pairs: _similar(pairs, texts, percent, size), union_find, percent)
     seen = named.join(components, "id", "left")
     seen = seen.select("doc_id", "key", "place", F.coalesce("component", "id").alias("component"))
-    first = seen.groupBy("component").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    order = F.struct("doc_id", "place", "key")
+    first = seen.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     gone = seen.join(first.where("n > 1"), "component")
-    gone = gone.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
+    gone = gone.where(~order.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 

@@ -11,8 +11,8 @@ sequence where there are fewer. Texts are linked if 100 * intersection >= ``perc
 * What remains is confirmed on the full sets of both texts.
 
 Null texts and texts without words have an empty set and no link. Equal doc_ids with different texts are nodes of their
-own, equal rows one; a row without doc_id can be linked, but never names a component (a component of such rows alone
-keeps them all).
+own, equal rows one; a row without doc_id can be linked, but never names a component. ``groups`` marks rows by doc_id alone:
+all rows of a component's smallest doc_id are kept, and a component without doc_ids whole. ``deduplicate`` leaves one row.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from episodica.llm.linking import linked, shared_members
 from episodica.llm.words import SPACED_LOWER, Powers, Words, cut, mix
 
 WORDS, BANDS, ROWS, PERCENT = 5, 24, 6, 85
+FIRST = "min(struct(doc_id is null as absent, doc_id, key))"
 SIGNED = "doc_id long, key long, node long, n_shingles long, bands array<long>, signature binary"
 
 
@@ -219,20 +220,19 @@ def _compare(rows: DataFrame, members: DataFrame, percent: int, block: int = 512
     return whole.sortWithinPartitions("bucket", "i", "j").mapInArrow(scan, "a long, b long").distinct()
 
 
-def groups(
+def _components(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, size: int = WORDS
 ) -> DataFrame:
-    """Per row: doc_id, key (of the text), n_shingles, component_id (smallest doc_id reachable by links) and kept."""
+    """Per row: doc_id, key (of the text), node, n_shingles and the first (doc_id, key) of the component."""
     signed = stage(sign(docs, bands, rows, size))
     nodes = stage(
         signed.where("node is not null")
         .groupBy("node")
         .agg(
-            F.min("doc_id").alias("doc_id"),
-            F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key"),
+            F.expr(FIRST).alias("first"),
             F.max("n_shingles").alias("n_shingles"),
             F.any_value("signature").alias("signature"),
-        )
+        ).select("node", "first.doc_id", "first.key", "n_shingles", "signature")
     )
     members = signed.where("node is not null").select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))
     shared = stage(shared_members(members))
@@ -251,19 +251,30 @@ def groups(
 
     found = linked(shared, similar, star_components, percent, elements, compare)
     named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left")
-    named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "component").select("node", "component_id")
-    out = signed.select("doc_id", "key", "node", "n_shingles").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "key", "n_shingles", component.alias("component_id"))
+    named = named.select("node", "doc_id", "key", F.coalesce("component", "node").alias("component"))
+    names = named.groupBy("component").agg(F.expr(FIRST).alias("first"))
+    named = named.join(names, "component").select("node", "first")
+    return signed.select("doc_id", "key", "node", "n_shingles").join(named, "node", "left")
+
+
+def groups(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, key (of the text), n_shingles, component_id (smallest doc_id reachable by links) and kept."""
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    out = _components(docs, **options).select("doc_id", "key", "n_shingles", component.alias("component_id"))
     kept = F.col("component_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")))
     return out.withColumn("kept", kept)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, the one of the smallest doc_id, with all its columns."""
-    gone = groups(docs, **options).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
-    gone = gone.distinct()
-    same = docs["doc_id"].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_key"])
-    return docs.join(gone, same, "left_anti")
+    """One row of each group with all its columns, that of the smallest doc_id (none last), then of the smallest key.
+
+    Rows that repeat doc_id and text are reduced to one only where they stay; Spark combines them within tasks first.
+    """
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    rows = _components(docs, **options).where("node is not null")
+    rows = rows.groupBy("doc_id", "key").agg(F.bool_or(first).alias("_first"), F.count("*").alias("_n"))
+    rows = rows.where("not _first or _n > 1").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_first")
+    rows = stage(rows)
+    same = docs["doc_id"].eqNullSafe(rows["_doc"]) & (F.xxhash64(docs["text"]) == rows["_key"])
+    repeated = docs.join(rows.where("_first"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(rows, same, "left_anti").unionByName(repeated)

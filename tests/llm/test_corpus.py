@@ -174,6 +174,26 @@ def test_minhash_groups(spark, docs, empty):
     assert minhash.groups(empty).count() == 0
 
 
+def test_minhash_leaves_one_row_of_each_group(spark):
+    other = " ".join(rng.choice(WORDS) for _ in range(120))
+    third = " ".join(rng.choice(WORDS) for _ in range(120))
+    rows = [(1, BASE)] * 30 + [(2, BASE + " tail"), (None, BASE)]  # the smallest row, repeated
+    rows += [(3, other), (3, other + " tail"), (3, other + " tail"), (4, other)]  # equal ids, different texts
+    rows += [(None, third), (None, third), (None, third + " tail")]  # no ids at all
+    rows += [(5, None), (5, None), (6, "alone"), (7, ""), (7, "")]  # empty sets are no copies
+    table = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string").repartition(5)
+    kept = minhash.deduplicate(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 5, 5, 6, 7, 7]
+
+
+def test_equal_lines_at_equal_places_keep_one(spark):
+    line = "a line of some length that three texts without a name begin with"
+    rows = [(None, f"{line}\n{k} and what follows it in text {k * 7919}") for k in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(line in r.text for r in line_dedup.clean(table).collect()) == 1
+
+
 def test_pipeline_drops_near_copies_from_four_fifths_on(spark):
     words = [f"w{k}" for k in range(204)]
     rows = []
