@@ -187,6 +187,18 @@ def test_minhash_leaves_one_row_of_each_group(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 5, 5, 6, 7, 7]
 
 
+def test_line_signatures_see_every_shingle(spark):
+    """Pairs that differ within the only shingle that follows a sign: the first one."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(60):
+        tail = "".join(draw.choice("abcdefghij_|=~") for _ in range(80))
+        rows += [(2 * k, f"x{tail}"), (2 * k + 1, f"y{tail}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = as_rows(line_dedup.report(table).where("n_removed > 0"), "doc_id")
+    assert removed == sorted([(k,) for k in range(1, 120, 2)], key=repr)
+
+
 def test_equal_lines_at_equal_places_keep_one(spark):
     line = "a line of some length that three texts without a name begin with"
     rows = [(None, f"{line}\n{k} and what follows it in text {k * 7919}") for k in range(3)]
