@@ -102,10 +102,54 @@ select d.doc_id, len(w) n_words, coalesce(hit.n, 0) n_hit, coalesce(items.n, 0)
 from d left join hit using (doc_id) left join items using (doc_id)
 """
 
+#: The CRC-32 of a string, byte by byte (letters beyond ASCII here have two), over the table of its reflected polynomial.
+OP11 = """
+with recursive steps(i, k, c) as (
+  select i, 0, i from range(256) t(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8
+), crc as (select list(c order by i) t from steps where k = 8),
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') run from documents where text is not null
+), counted as (select doc_id, run, count(*) k, length(run) l from runs group by all),
+hashed as (
+  select run, l, k, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+    string_split(concat(doc_id, ':', run), ''),
+    lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [(192 + ord(c) // 64)::bigint, (128 + ord(c) % 64)::bigint] end
+  ))), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) h
+  from counted, crc
+), words as (
+  select case when h % 97 = 0 then run[:h % l] || run[h % l + 2:] else run end word, sum(k)::bigint n
+  from hashed group by 1 having length(word) >= 5 and n >= 3
+), places as (select word, n, unnest(range(1, length(word) + 1)) i from words),
+holes as (select word, n, i, word[:i - 1] a, word[i + 1:] b from places),
+near as (
+  select x.word, y.word other, y.n m from holes x join holes y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, y.word, y.n from holes x join words y on y.word = x.a || x.b
+  union select y.word, x.word, x.n from holes x join words y on y.word = x.a || x.b
+), best as (select word, count(*) n_near, arg_min(other, (-m, other)) other, max(m) m from near group by word),
+led as (
+  select word, n, coalesce(n_near, 0) n_near, case when m >= 2 * n then other end form, case when m >= 2 * n then m end form_n
+  from words left join best using (word)
+), chain as (
+  select word, word as tip from led union all select c.word, l.form from chain c join led l on l.word = c.tip where l.form is not null
+), ends as (select c.word, c.tip root from chain c join led l on l.word = c.tip where l.form is null)
+select word, form, root, n, n_near, form_n from led join ends using (word)
+"""
+
+OP12 = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) s from documents)
+select doc_id, min(doc_id) over (partition by s) keep_id, count(*) over (partition by s) group_size,
+  doc_id = min(doc_id) over (partition by s) kept, s text_sha256
+from d
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op5_substring_dedup": OP5,
     "op6_cross_polytope": OP6,
     "op8_minhash": OP8,
     "op10_decontaminate": OP10,
+    "op11_pivotal_spelling": OP11,
+    "op12_heavy_dedup": OP12,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm import (
     decontaminate,
+    heavy_dedup,
     language_crf,
     line_dedup,
     minhash,
@@ -16,8 +17,10 @@ from episodica.llm import (
     pii,
     polytope,
     ring,
+    spelling,
     substring_dedup,
     token_planes,
+    whitening,
 )
 from episodica.llm.base import table
 
@@ -83,6 +86,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op11_pivotal_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_heavy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy_dedup.mark(table(spark, sf_dir, "documents"))
+
+
+def op13_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,5 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash,
         op9_power_packing,
         op10_decontaminate,
+        op11_pivotal_spelling,
+        op12_heavy_dedup,
+        op13_incremental_whitening,
     )
 }
