@@ -289,14 +289,23 @@ from (select variable, covariate, weighting, sum(case when grp = 'vaccinated' th
              sum(case when grp = 'unvaccinated' then w else 0 end) p2
       from factor_rows join arms using (person_id) group by all)
 window v as (partition by variable, weighting)"""
+# Elimination of the covariance matrix level by level: the quadratic form is a sum over pivots.
 VIEWS["smd_factors"] = """
-select variable, weighting, sqrt(q + (b1*b1*m22 + 2*b1*b2*m12 + b2*b2*m11) / 2 / (m11*m22 - m12*m12)) smd
-from (select variable, weighting, sum((p1-p2)*(p1-p2)/((p1+p2)/2)) q,
-             1 - sum(p1*p1/((p1+p2)/2)) / 2 m11, 1 - sum(p2*p2/((p1+p2)/2)) / 2 m22,
-             sum(p1*p2/((p1+p2)/2)) / 2 m12,
-             sum(p1*(p1-p2)/((p1+p2)/2)) b1, sum(p2*(p1-p2)/((p1+p2)/2)) b2
-      from (select *, min(covariate) over (partition by variable, weighting) first from shares where p1 + p2 > 0)
-      where covariate <> first group by all)"""
+select variable, weighting, sqrt(quad) smd from (
+  with recursive lists as (
+    select variable, weighting, list(p1 order by covariate) p, list(p2 order by covariate) q, count(*) - 1 n
+    from shares where p1 + p2 > 0 group by all
+  ), elim as (
+    select variable, weighting, n, 1 j, 0.0::double quad, list_transform(range(2, n + 2), lambda r: list_transform(
+      range(2, n + 3), lambda c: case when c = n + 2 then p[r] - q[r] else
+        (case when r = c then p[r] + q[r] else 0 end - p[r] * p[c] - q[r] * q[c]) / 2 end)) m
+    from lists
+    union all
+    select variable, weighting, n, j + 1, quad + m[j][n + 1] * m[j][n + 1] / m[j][j],
+      list_transform(range(1, n + 1), lambda r: case when r <= j then m[r] else
+        list_transform(range(1, n + 2), lambda c: m[r][c] - m[r][j] / m[j][j] * m[j][c]) end)
+    from elim where j <= n
+  ) select variable, weighting, quad from elim where j = n + 1)"""
 VIEWS["balance"] = """
 select covariate, weighting, smd from smd_flags union all select covariate, weighting, smd from smd_numbers
 union all select variable, weighting, smd from smd_factors"""

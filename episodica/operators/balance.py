@@ -130,27 +130,38 @@ def factor_shares(factors: DataFrame, persons: DataFrame, weights: dict[str, str
 
 def smd_factor(shares: DataFrame) -> DataFrame:
     """Overall difference of a factor: the length of the share differences measured
-    in the mean multinomial covariance of the arms.
-
-    With one level left out the covariance is diag(a) minus two rank-one terms, so
-    its inverse applied to the differences needs only sums over levels and the
-    inverse of a 2 by 2 matrix. Null where the arms share no level.
+    in the general inverse of the arms' mean multinomial covariance, one level left out.
+
+    Where the arms share a level the covariance has an inverse: diag(a) minus two rank-one
+    terms, which needs only sums over levels and the inverse of a 2 by 2 matrix. Where
+    they share none, it falls apart into a block per arm. The block of the arm with the left-out
+    level has an inverse; in the other block every difference between levels counts, but not
+    their total, which has no variance. A difference that lies wholly in what has no variance
+    has no length: null, never 0. Equal shares have 0, and so has a factor of one level.
     """
     p1, p2 = F.col("p1"), F.col("p2")
     a, d = (p1 + p2) / 2, p1 - p2
     one = Window.partitionBy("variable", "weighting")
     used = shares.where(a > 0).withColumn("left_out", F.min("covariate").over(one))
-    s = (
-        used.where("covariate <> left_out")
-        .groupBy("variable", "weighting")
-        .agg(
-            F.sum(d * d / a).alias("q"),
-            (1 - F.sum(p1 * p1 / a) / 2).alias("m11"),
-            (1 - F.sum(p2 * p2 / a) / 2).alias("m22"),
-            (F.sum(p1 * p2 / a) / 2).alias("m12"),
-            F.sum(p1 * d / a).alias("b1"),
-            F.sum(p2 * d / a).alias("b2"),
-        )
+    kept = F.col("covariate") != F.col("left_out")
+
+    def total(term: Column, where: Column = kept) -> Column:
+        return F.coalesce(F.sum(F.when(where, term)), F.lit(0.0))
+
+    first, other = F.when(p1 > 0, p1), F.when(p2 > 0, p2)
+    # Of the arm that holds the left-out level, its share there; of the other arm, its levels and their inverse shares.
+    in_first = F.max(F.when(~kept, p1 > 0))
+    s = used.groupBy("variable", "weighting").agg(
+        total(d * d / a).alias("q"),
+        (1 - total(p1 * p1 / a) / 2).alias("m11"),
+        (1 - total(p2 * p2 / a) / 2).alias("m22"),
+        (total(p1 * p2 / a) / 2).alias("m12"),
+        total(p1 * d / a).alias("b1"),
+        total(p2 * d / a).alias("b2"),
+        F.max((p1 > 0) & (p2 > 0)).alias("overlap"),
+        F.max(F.when(~kept, p1 + p2)).alias("p_out"),
+        F.when(in_first, F.count(other)).otherwise(F.count(first)).alias("m"),
+        F.when(in_first, F.sum(1 / other)).otherwise(F.sum(1 / first)).alias("inverse"),
     )
     det = F.col("m11") * F.col("m22") - F.col("m12") * F.col("m12")
     quad = (
@@ -158,8 +169,11 @@ def smd_factor(shares: DataFrame) -> DataFrame:
         + 2 * F.col("b1") * F.col("b2") * F.col("m12")
         + F.col("b2") * F.col("b2") * F.col("m11")
     ) / 2
-    total = F.col("q") + F.try_divide(quad, F.when(F.abs(det) > 1e-12, det))
-    return s.select("variable", "weighting", F.sqrt(F.greatest(total, F.lit(0.0))).alias("smd"))
+    regular = F.greatest(F.col("q") + F.try_divide(quad, det), F.lit(0.0))
+    blocks = 2 * ((1 - F.col("p_out")) / F.col("p_out") + F.col("inverse") / (F.col("m") * F.col("m")) - 1)
+    apart = F.when(blocks > 1e-12, blocks)
+    length = F.when(F.col("overlap"), regular).otherwise(apart)
+    return s.select("variable", "weighting", F.sqrt(length).alias("smd"))
 
 
 def balance_table(

@@ -74,3 +74,38 @@ def test_weights(spark):
     weighted = bal.overlap_weights(rows)
     assert {r.person_id: r.weight for r in weighted.collect()} == {1: 0.7, 2: 0.3, 3: 0.0}
     assert bal.drop_zero_weight(weighted).count() == 2
+
+
+SHARES = [
+    ([0.5, 0.5, 0.0], [0.0, 0.0, 1.0]), ([0.0, 0.0, 1.0], [0.5, 0.5, 0.0]), ([0.2, 0.3, 0.5, 0, 0], [0, 0, 0, 0.4, 0.6]),
+    ([0, 0.1, 0, 0.9], [0.7, 0, 0.3, 0]), ([0.2, 0.8, 0], [0, 0.5, 0.5]), ([0, 0.5, 0.5], [0.25, 0.25, 0.5]),
+    ([0, 0.3, 0.7], [0, 0.6, 0.4]), ([0.1, 0.2, 0.7], [0.3, 0.3, 0.4]), ([0.5, 0.5], [0.5, 0.5]), ([1.0], [1.0]),
+    ([1e-9, 1 - 1e-9], [1 - 1e-9, 1e-9]), ([0.25] * 4 + [0] * 3, [0] * 4 + [0.1, 0.2, 0.7]),
+]
+# The left-out level alone against an even spread: no direction of the covariance tells them apart.
+UNDEFINED = [([1.0, 0.0], [0.0, 1.0]), ([0.0, 1.0], [1.0, 0.0]), ([1.0, 0, 0], [0, 0.5, 0.5])]
+
+
+def test_factor_smd_is_the_general_inverse_on_any_overlap(spark):
+    rows = [(f"v{k}", f"l{j}", "w", float(x), float(y)) for k, (p, q) in enumerate(SHARES + UNDEFINED)
+            for j, (x, y) in enumerate(zip(p, q))]
+    table = spark.createDataFrame(rows, "variable string, covariate string, weighting string, p1 double, p2 double")
+    found = {r.variable: r.smd for r in bal.smd_factor(table).collect()}
+    assert len(found) == len(SHARES + UNDEFINED)
+    for k, (p, q) in enumerate(SHARES):
+        used = np.flatnonzero(np.array(p) + np.array(q))
+        p, q = np.array(p)[used][1:], np.array(q)[used][1:]
+        s = sum(np.diag(x) - np.outer(x, x) for x in (p, q)) / 2
+        length = np.sqrt((p - q) @ np.linalg.pinv(s) @ (p - q)) if len(p) else 0.0
+        assert found[f"v{k}"] == pytest.approx(length, rel=1e-6, abs=1e-12)
+    assert [found[f"v{k}"] for k in range(len(SHARES), len(found))] == [None] * len(UNDEFINED)
+
+
+def test_disjoint_arms_do_not_count_as_balanced(spark):
+    persons = spark.createDataFrame([(i, "vaccinated" if i < 10 else "unvaccinated", 1.0) for i in range(20)],
+                                    "person_id long, group string, one double")
+    factors = spark.createDataFrame([(i, "region_A" if i < 10 else "region_B", 1.0) for i in range(20)], LONG)
+    shares = bal.factor_shares(factors, persons, {"before": "one"})
+    table = bal.smd_factor(shares).select("variable", "weighting", "smd")
+    assert [r.smd for r in table.collect()] == [None]
+    assert bal.balanced_share(table).first().n_balanced == 0
