@@ -364,9 +364,13 @@ select {keys}, analysis, grp "group", event, count(*) n_rows, sum(time) as perso
 from {table}, (values ('crude'), ('adjusted')) t(analysis) group by all"""
 
 
-def _risk_sets(keys: str, table: str, weighted: bool) -> str:
+def _risk_sets(keys: str, table: str, weighted: bool, rounded: bool = True) -> str:
     """Risk sets by day from the full study tables."""
     w = "w" if weighted else "1"
+
+    def shown(x: str) -> str:
+        return f"round({x} + 1e-9, 6)" if rounded else x
+
     return f"""
 with days as (
   select {keys}, analysis, time,
@@ -394,8 +398,8 @@ surviving as (
   select *, coalesce(product(step) over (partition by {keys}, analysis order by time
                      rows between unbounded preceding and 1 preceding), 1) g
   from steps)
-select {keys}, analysis, time, n_events, round(ev + 1e-9, 6) ev, round(eu + 1e-9, 6) eu,
-       round(yv + g * coalesce(cv, 0) + 1e-9, 6) risk_v, round(yu + g * coalesce(cu, 0) + 1e-9, 6) risk_u
+select {keys}, analysis, time, n_events, {shown('ev')} ev, {shown('eu')} eu,
+       {shown('yv + g * coalesce(cv, 0)')} risk_v, {shown('yu + g * coalesce(cu, 0)')} risk_u
 from (select *, sum(dv / nullif(g, 0)) over earlier cv, sum(du / nullif(g, 0)) over earlier cu from surviving
       window earlier as (partition by {keys}, analysis order by time
                          rows between unbounded preceding and 1 preceding))
@@ -404,6 +408,45 @@ where n_events > 0"""
 
 GRID = "population, censoring, variant, outcome, risk_window"
 
+
+def _fits(keys: str, table: str, least: int = 1) -> str:
+    """Newton's steps on the risk sets, every tied event a term of its own (Efron's rule)."""
+    return f"""
+select {keys}, analysis, n_events, log_hr, se, exp(log_hr) hr, exp(-log_hr) hr_inverse, exp(log_hr - {Z} * se) low95,
+       exp(log_hr + {Z} * se) upper95, log_hr is not null converged
+from (
+  with recursive terms as (
+    select {keys}, analysis, sum(n_events) over one n_events, sum(ev) over one tv, sum(eu) over one tu,
+           (ev + eu) / n_events w, risk_v - k * ev / n_events a, risk_u - k * eu / n_events b
+    from (select *, unnest(range(n_events::bigint)) k, n_events n from ({_risk_sets(keys, table, True, False)}))
+    window one as (partition by {keys}, analysis)
+  ), lists as (
+    select {keys}, analysis, count(*) n_events, sum(case when tv > 0 and tu > 0 then 1 else 0 end) > 0 both_arms,
+           sum(w) total, list(w) ws, list(a) a, list(b) b
+    from terms group by all having count(*) >= {least}
+  ), arms as (
+    select {keys}, analysis, sum(ev) tv from ({_risk_sets(keys, table, True, False)}) group by all
+  ), steps as (
+    select l.*, tv, 0 step, 0.0::double beta, null::double info
+    from lists l join arms r on {_same(keys + ", analysis", "l", "r")}
+    union all
+    select * exclude (p, beta, info, step), step + 1,
+      beta + greatest(-2, least(2, (tv - list_dot_product(ws, p)) / list_dot_product(ws, list_transform(p, lambda x: x * (1 - x))))),
+      list_dot_product(ws, list_transform(p, lambda x: x * (1 - x)))
+    from (select *, list_transform(range(1, len(ws) + 1), lambda i: a[i] / (a[i] + b[i] * exp(-beta))) p
+          from steps where both_arms and step < 30)
+  )
+  select {keys}, analysis, n_events, case when both_arms then beta end log_hr, case when both_arms then 1 / sqrt(info) end se
+  from steps where step = case when both_arms then 30 else 0 end)"""
+
+
+def _same(keys: str, a: str, b: str) -> str:
+    return " and ".join(f"{a}.{k.strip()} is not distinct from {b}.{k.strip()}" for k in keys.split(","))
+
+
+VIEWS["fits"] = _fits(GRID, "dense_valid", 5)
+VIEWS["control_fits"] = _fits("outcome", "control_dense")
+
 # --- calibration ----------------------------------------------------------------------------
 
 VIEWS["count_estimates"] = """
@@ -411,27 +454,35 @@ select cohort_definition_id, censoring, ln((count(*) + 1) / 100.0::double) log_r
 from derived join censoring_names using (code) group by cohort_definition_id, censoring"""
 
 
-def _profile(points: str) -> str:
+def _profile(points: str, by: str) -> str:
     return f"""
-select censoring, arg_max(sigma, fit) sigma, arg_max(mu, fit) mu, any_value(step) step, any_value(n) n
-from (select censoring, sigma, any_value(step) step, count(*) n,
+select {by}, arg_max(sigma, fit) sigma, arg_max(mu, fit) mu, any_value(step) step, any_value(n) n
+from (select {by}, sigma, any_value(step) step, count(*) n,
              sum(log_rr / (sigma*sigma + se*se)) / sum(1 / (sigma*sigma + se*se)) mu,
              -0.5 * (sum(ln(sigma*sigma + se*se)) + sum(log_rr*log_rr / (sigma*sigma + se*se))
                      - sum(log_rr / (sigma*sigma + se*se)) * sum(log_rr / (sigma*sigma + se*se))
                        / sum(1 / (sigma*sigma + se*se))) fit
-      from {points} group by censoring, sigma)
-group by censoring"""
+      from {points} group by {by}, sigma)
+group by {by}"""
 
 
-VIEWS["coarse_points"] = """
+def _error_model(name: str, estimates: str, by: str) -> None:
+    """Views <name>_coarse_points, <name>_coarse, <name>_fine_points and <name>_model over estimates (log_rr, se)."""
+    VIEWS[f"{name}_coarse_points"] = f"""
 select *, step * i sigma from (
-  select e.*, (max(log_rr) over c - min(log_rr) over c) / 1000 step from count_estimates e
-  window c as (partition by censoring)), range(0, 1001) t(i)"""
-VIEWS["coarse"] = _profile("coarse_points")
-VIEWS["fine_points"] = """
-select e.censoring, log_rr, se, step, c.sigma + step * i / 50 sigma
-from count_estimates e join coarse c using (censoring), range(-50, 51) t(i)
-where c.sigma + step * i / 50 >= 0"""
+  select e.*, (max(log_rr) over c - min(log_rr) over c) / 1000 step from {estimates} e where log_rr is not null
+  window c as (partition by {by})), range(0, 1001) t(i)"""
+    VIEWS[f"{name}_coarse"] = _profile(f"{name}_coarse_points", by)
+    VIEWS[f"{name}_fine_points"] = f"""
+select e.{by}, log_rr, se, step, c.sigma + step * i / 50 sigma
+from {estimates} e join {name}_coarse c using ({by}), range(-50, 51) t(i)
+where c.sigma + step * i / 50 >= 0 and log_rr is not null"""
+    VIEWS[f"{name}_model"] = _profile(f"{name}_fine_points", by)
+
+
+_error_model("counted", "count_estimates", "censoring")
+VIEWS["control_estimates"] = "select outcome, analysis, log_hr log_rr, se from control_fits"
+_error_model("control", "control_estimates", "analysis")
 
 
 # --- oracles ----------------------------------------------------------------------------------
@@ -652,11 +703,36 @@ from counts_gated where population = 'any'""")
 oracle("effect_grid_counts", f"select {GRID}, nv n_vaccinated, nu n_unvaccinated, enough from counts_gated")
 oracle("fg_riskset", _risk_sets(GRID, "dense_valid", True))
 oracle("fg_riskset_counted", _risk_sets("outcome", "control_dense", False))
+FITTED = "round(log_hr, 6) log_hr, round(se, 6) se, round(hr, 6) hr, round(hr_inverse, 6) hr_inverse, " \
+    "round(low95, 6) low95, round(upper95, 6) upper95, converged"
+oracle("fg_estimates", f"select {GRID}, analysis, n_events, {FITTED} from fits")
+oracle("fg_nco", f"select outcome, analysis, n_events, {FITTED} from control_fits")
+oracle("effect_report", f"""
+select {', '.join(f'k.{x.strip()}' for x in GRID.split(','))}, k.analysis, k.cohortId "cohortId", k.cohortName "cohortName",
+       round(hr, 6) "HR", round(hr_inverse, 6) "HRinvers", round(low95, 6) "low95", round(upper95, 6) "upper95",
+       round(se, 6) "SE", case when enough then nv end "vacPACS", case when enough then nu end "unvacPACS"
+from (
+  select *, case when outcome <> 'ATE' then cast(15 + 40 * code + 4 * place + risk_window - 1 as int) end cohortId,
+         concat_ws(' ', outcome, days, label) cohortName
+  from (values ('any'), ('AZ'), ('PF')) p(population), (values ('crude'), ('adjusted')) a(analysis),
+       (values ('none','partial',0,'no'),('none','full',0,'no'),('covid','partial',1,'covid'),('covid','full',1,'covid'),
+               ('vaccine',null,2,'vax'),('both',null,3,'covid+vax')) c(censoring, variant, code, what),
+       (values ('VTE',0),('DVT',1),('PE',2),('HS',3),('IS',4),('TIA',5),('MI',6),('MP',7),('VACA',8),('HF',9),('ATE',0))
+         o(outcome, place),
+       (values (1,'0 to 30'),(2,'31 to 90'),(3,'91 to 180'),(4,'181 to 365')) w(risk_window, days),
+       (select what || ' censoring' label, what from (values ('no'),('covid'),('vax'),('covid+vax')) t(what)) l
+  where l.what = c.what) k
+left join counts_gated g on {_same(GRID, 'g', 'k')}
+left join fits f on enough and {_same(GRID + ', analysis', 'f', 'k')}""")
 oracle("nco_first", """
 select person_id, concept_id "ConceptId", outcome, event_date from control_first""")
 oracle("nco_study_table", _totals("outcome", "control_dense"))
-oracle("error_model", "select censoring, round(mu, 4) mu, round(sigma, 4) sigma, n n_controls from ("
-       + _profile("fine_points") + ")")
+oracle("error_model", "select censoring, round(mu, 4) mu, round(sigma, 4) sigma, n n_controls from counted_model")
+oracle("calibrated_nco", f"""
+select outcome, analysis, round(log_rr, 6) log_rr, round(se, 6) se,
+       round(exp(log_rr - mu), 4) cal_hr, round(exp(log_rr - mu - {Z} * s), 4) cal_low95,
+       round(exp(log_rr - mu + {Z} * s), 4) cal_upper95, round(s, 4) cal_se_log, round(exp(s), 4) cal_exp_se
+from (select e.*, mu, sqrt(se*se + sigma*sigma) s from control_estimates e join control_model using (analysis))""")
 oracle("calibrate_ci", f"""
 select cohort_definition_id, round(exp(log_rr - 0.1), 6) cal_hr,
        round(exp(log_rr - 0.1 - {Z} * s), 6) cal_low95, round(exp(log_rr - 0.1 + {Z} * s), 6) cal_upper95,

@@ -21,6 +21,7 @@ from episodica.functions.text import underscored
 from episodica.operators import balance as bal
 from episodica.operators import calibration as cal
 from episodica.operators import cohorts as co
+from episodica.operators import effects as ef
 from episodica.operators import features as fe
 from episodica.operators import matrix as mx
 from episodica.operators import population as po
@@ -182,9 +183,22 @@ class Study:
     def controls(self) -> DataFrame:
         return te.first_controls(self.cdm, self.nco, self.population, self.config.salts)
 
+    @cached_property
+    def event_rows(self) -> DataFrame:
+        """Study rows of everybody with an outcome, kept only if none breaks a rule."""
+        rows, observed = ef.checked(te.event_rows(self.populations, self.named))
+        stored = self.stages.save(rows, "event_rows")
+        ef.stop_on_violations(observed)
+        return stored
+
+    @cached_property
+    def estimates(self) -> DataFrame:
+        fitted = su.estimate(self.sums, GRID, ANALYSES, self.config.min_events)
+        return self.stages.save(fitted, "estimates")
+
     @cached_property
     def sums(self) -> DataFrame:
-        return te.study_sums(self.populations, self.named, self.config, WEIGHTS, ["population"])
+        return te.study_sums(self.populations, self.event_rows, self.config, WEIGHTS, ["population"])
 
     @cached_property
     def control_sums(self) -> DataFrame:
@@ -779,7 +793,7 @@ def event_counts(s: Study) -> DataFrame:
 
 @query
 def effect_grid_counts(s: Study) -> DataFrame:
-    return te.event_counts(te.event_rows(s.populations, s.named), GRID, s.config)
+    return te.event_counts(s.event_rows, GRID, s.config)
 
 
 def _risk(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -800,9 +814,27 @@ def fg_riskset_counted(s: Study) -> DataFrame:
     return _risk(risk, ["outcome", "analysis"])
 
 
+FITTED = ("log_hr", "se", "hr", "hr_inverse", "low95", "upper95")
+
+
+def _fitted(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(c) if c in FITTED else F.col(c) for c in df.columns])
+
+
 @query
 def fg_estimates(s: Study) -> DataFrame:
-    return su.estimate(s.sums, GRID, ANALYSES, s.config.min_events)
+    return _fitted(s.estimates)
+
+
+@query
+def effect_report(s: Study) -> DataFrame:
+    """The whole grid of results: 3 populations x 2 analyses x 6 censoring variants x 44 outcomes and windows."""
+    path = s.stages.path("cohort_index.csv")
+    s.orders.cohort_index().write.mode("overwrite").option("header", True).csv(path)
+    index = read_list(s.spark, path, "cohort_index")
+    keys = ef.report_keys(index, ["any", *STRATUM_IDS], list(ANALYSES))
+    report = ef.effect_report(keys, te.event_counts(s.event_rows, GRID, s.config), s.estimates)
+    return report.select(*[r6(c) if c in ("HR", "HRinvers", "low95", "upper95", "SE") else F.col(c) for c in report.columns])
 
 
 @query
@@ -817,7 +849,7 @@ def nco_study_table(s: Study) -> DataFrame:
 
 @query
 def fg_nco(s: Study) -> DataFrame:
-    return su.estimate(s.control_sums, ["outcome"], ANALYSES)
+    return _fitted(su.estimate(s.control_sums, ["outcome"], ANALYSES))
 
 
 @query
@@ -854,7 +886,9 @@ def calibrated_nco(s: Study) -> DataFrame:
         "outcome", "analysis", F.col("log_hr").alias("log_rr"), "se"
     )
     staged = s.stages.save(estimates, "nco_estimates")
-    return cal.calibrate(staged, cal.fit_error_model(staged, ["analysis"]), ["analysis"])
+    calibrated = cal.calibrate(staged, cal.fit_error_model(staged, ["analysis"]), ["analysis"])
+    return calibrated.select("outcome", "analysis", r6("log_rr"), r6("se"),
+                             *[F.round(c, 4).alias(c) for c in calibrated.columns if c.startswith("cal_")])
 
 
 @query

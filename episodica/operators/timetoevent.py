@@ -149,6 +149,13 @@ def event_rows(
     return _with_times(rows.withColumn("limited", dose_ends(F.col("censoring"))), "covid_date")
 
 
+def outcome_name(outcome_id: Column) -> Column:
+    name = F.lit(None).cast("string")
+    for number, text in OUTCOME_NAMES.items():
+        name = F.when(outcome_id == number, text).otherwise(name)
+    return name
+
+
 def analysis_cells(spark: SparkSession) -> DataFrame:
     """The fixed list of analyses: 6 censoring variants x 11 outcomes x 4 windows."""
     outcomes = list(OUTCOME_NAMES.values()) + [c for c in COMPOSITES if c not in OUTCOME_NAMES.values()]
@@ -294,12 +301,12 @@ def risk_sums(
     return total.where(somebody).select(*cell, "time", *counts, *exact)
 
 
-def study_sums(population: DataFrame, outcomes: DataFrame, config: StudyConfig,
+def study_sums(population: DataFrame, rows: DataFrame, config: StudyConfig,
                weights: list[str], strata: list[str] | None = None) -> DataFrame:
-    """Day sums of all analyses of the study."""
+    """Day sums of all analyses of the study; ``rows`` from :func:`event_rows`."""
     spark = population.sparkSession
     return risk_sums(
-        follow_up(population), event_rows(population, outcomes), analysis_cells(spark), CELL,
+        follow_up(population), rows, analysis_cells(spark), CELL,
         F.col("censoring").isin(*DOSE_CENSORED), weights, strata, config.min_time,
     )
 

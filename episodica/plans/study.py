@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.config import STRATUM_IDS, StudyConfig
-from episodica.operators import balance, calibration, cohorts, features, matrix
+from episodica.operators import balance, calibration, cohorts, effects, features, matrix
 from episodica.operators import population as arms
 from episodica.operators import propensity, survival, timetoevent
 from episodica.sources.readers import Cdm
@@ -34,6 +34,7 @@ class Study:
     error_model: DataFrame
     estimates: DataFrame
     calibrated: DataFrame
+    checks: dict[str, int]
 
 
 def score_population(
@@ -83,8 +84,14 @@ def run_study(
     store: StageStore,
     config: StudyConfig = StudyConfig(),
     report_path: str | None = None,
+    index: DataFrame | None = None,
 ) -> Study:
-    """Outcome cohorts, populations, scores, balance, negative controls and effects."""
+    """Outcome cohorts, populations, scores, balance, negative controls and effects.
+
+    ``index``: the cohort index list (cohortId, cohortName) whose ids and names the reports bear; without one they have
+    the ids of the derived cohorts alone. The effect reports have a row for every analysis, empty where events were
+    too few. Study rows that break a rule of the study end the run (:class:`effects.StudyError`).
+    """
     derived = store.save(cohorts.build_outcome_cohorts(cdm["cohort"], config), "derived")
     base = store.save(arms.build_population(cdm, config), "base")
     everybody = base.select("person_id", "index_date")
@@ -128,23 +135,25 @@ def run_study(
     model = store.save(calibration.fit_error_model(known, ["population"]), "error_model")
 
     named = cohorts.composite_outcomes(derived)
-    counts = store.save(
-        timetoevent.event_counts(timetoevent.event_rows(populations, named), GRID, config),
-        "event_counts",
-    )
-    sums = timetoevent.study_sums(populations, named, config, WEIGHTS, ["population"])
+    rows, observed = effects.checked(timetoevent.event_rows(populations, named))
+    rows = store.save(rows, "event_rows")
+    checks = effects.stop_on_violations(observed)
+    counts = store.save(timetoevent.event_counts(rows, GRID, config), "event_counts")
+    sums = timetoevent.study_sums(populations, rows, config, WEIGHTS, ["population"])
     fitted = store.save(survival.estimate(sums, GRID, ANALYSES, config.min_events), "fitted")
-    same = [fitted[k].eqNullSafe(counts[k]) for k in GRID]
-    estimates = store.save(
-        counts.where("enough").join(fitted, same, "left").select(
-            *[counts[k] for k in GRID], "analysis", "n_vaccinated", "n_unvaccinated",
-            *[c for c in fitted.columns if c not in GRID and c != "analysis"],
-        ),
-        "estimates",
+    if index is None:
+        ids = derived.select(F.col("cohort_definition_id").alias("cohortId")).distinct()
+        index = ids.withColumn("cohortName", F.lit(None).cast("string"))
+    keys = effects.report_keys(index, [MAIN, *STRATUM_IDS], list(ANALYSES))
+    estimates = store.save(effects.effect_report(keys, counts, fitted), "estimates")
+    adjusted = estimates.where("analysis = 'adjusted' and HR is not null").select(
+        *GRID, F.log("HR").alias("log_rr"), F.col("SE").alias("se")
     )
-    adjusted = estimates.where("analysis = 'adjusted'").withColumnRenamed("log_hr", "log_rr")
     calibrated = store.save(
-        calibration.calibrate(adjusted, model, ["population"]), "calibrated"
+        effects.calibrated_report(
+            keys.where("analysis = 'adjusted'"), calibration.calibrate(adjusted, model, ["population"])
+        ),
+        "calibrated",
     )
     if report_path:
         export_results(estimates, f"{report_path}/estimates")
@@ -153,4 +162,4 @@ def run_study(
         export_results(balance_rows, f"{report_path}/balance", ["population"])
         export_results(controls, f"{report_path}/negative_controls", ["population", "analysis"])
     return Study(derived, populations, covariates, balance_rows, controls, model, estimates,
-                 calibrated)
+                 calibrated, checks)

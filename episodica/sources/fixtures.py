@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.config import StudyConfig
+from episodica.config import CENSORINGS, OUTCOME_NAMES, RISK_WINDOWS, StudyConfig
+from episodica.operators.cohorts import decode_cohort_id
+from episodica.operators.timetoevent import outcome_name
 from episodica.sources.readers import Cdm
 
 FIXTURE_CONFIG = StudyConfig(
@@ -17,6 +19,8 @@ FIXTURE_CONFIG = StudyConfig(
     excluded_regions=("AFRICA",),
 )
 ENROLMENT_DATE = "1996-07-01"
+FIRST_DERIVED = max(OUTCOME_NAMES) + 1
+CENSORING_LABELS = ("no censoring", "covid censoring", "vax censoring", "covid+vax censoring")
 
 
 class OrderTables:
@@ -187,6 +191,18 @@ class OrderTables:
             F.col("concept_id").alias("ConceptId"),
         )
 
+    def cohort_index(self) -> DataFrame:
+        """Index list of the derived cohorts, named by outcome, days of the window and censoring."""
+        ids = self.spark.range(FIRST_DERIVED, FIRST_DERIVED + len(CENSORINGS) * len(OUTCOME_NAMES) * len(RISK_WINDOWS))
+        decoded = decode_cohort_id(ids.select(F.col("id").cast("int").alias("cohortId")), "cohortId")
+        days = F.element_at(F.array(*[F.lit(f"{a} to {b}") for _, a, b in RISK_WINDOWS]), F.col("risk_window"))
+        label = F.element_at(F.array(*[F.lit(x) for x in CENSORING_LABELS]), F.array_position(
+            F.array(*[F.lit(c) for c in CENSORINGS]), F.col("censoring")).cast("int"))
+        return decoded.select(
+            "cohortId",
+            F.concat_ws(" ", outcome_name(F.col("outcome_id")), days, label).alias("cohortName"),
+        )
+
 
 def fixture_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
     return Cdm(OrderTables(spark, sf_dir).load)

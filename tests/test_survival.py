@@ -110,7 +110,7 @@ def simulated(spark):
 @pytest.mark.parametrize("weighted", [True, False])
 def test_estimates_equal_row_level(spark, simulated, weighted):
     population, outcomes = simulated
-    sums = te.study_sums(population, outcomes, StudyConfig(), ["weight"])
+    sums = te.study_sums(population, te.event_rows(population, outcomes), StudyConfig(), ["weight"])
     analyses = {"crude": "n", "adjusted": "weight"}
     fitted = {
         (r.censoring, r.variant, r.outcome, r.risk_window, r.analysis): r
