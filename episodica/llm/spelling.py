@@ -15,7 +15,8 @@ at least ``lead`` times its own; its root is the word at the end of the chain of
    its end; and of the other side, cut in halves, one half is equal too. Pivots and prefixes meet on these equal parts (at
    least half of the letters), their places and the other word's length, all of them join keys; no pair of words is made
    for a shared bigram alone.
-4. Candidates are verified by their edit distance.
+4. Candidates whose letters differ in number by more than an edit explains are left out; the rest is verified by edit
+   distance.
 
 Nothing is capped: long words have long prefixes, found in time proportional to their length. Null texts have no words, a null
 doc_id counts as an empty one, repeated rows count as often as they occur, an empty table gives an empty result. Columns other
@@ -245,6 +246,14 @@ def gram_keys(word: str, order: dict[str, tuple[int, int]]) -> tuple[int, list[i
     return last, _named(set(_sought(n, one, two, left, right))), _named(held)
 
 
+def odd_letters(word: str) -> int:
+    """A bit for each class of letters that occurs an odd number of times. An edit turns two bits at most."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << ord(c) % 32
+    return bits - (bits >> 31 << 32)
+
+
 def gram_order(words: DataFrame) -> dict[str, tuple[int, int]]:
     """Of each bigram its rank, rare ones first, and its frequency over all words."""
     grams = F.transform(F.sequence(F.lit(1), F.length("word") - (GRAM - 1)), lambda i: F.substr("word", i, F.lit(GRAM)))
@@ -255,20 +264,23 @@ def gram_order(words: DataFrame) -> dict[str, tuple[int, int]]:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, na, b, nb): each pair of words one edit apart once. ``words``: (word, n), stored, distinct words of 4 or more letters."""
     order = gram_order(words)
+    schema = "word string, n long, id long, last int, odd int, searching array<long>, held array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [gram_keys(w, order) for w in batch.column("word").to_pylist()]
             last = pa.array([f[0] for f in found], pa.int32())
+            odd = pa.array([odd_letters(w) for w in batch.column("word").to_pylist()], pa.int32())
             keys = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, last, *keys], ["word", "n", "id", "last", "searching", "held"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, last, odd, *keys], ["word", "n", "id", "last", "odd", "searching", "held"])
 
     numbered = words.select("word", "n", F.monotonically_increasing_id().alias("id"))
     # Stored, so that a number stays with its word. A word with very many keys travels as a number only.
-    placed = stage(numbered.mapInArrow(scan, "word string, n long, id long, last int, searching array<long>, held array<long>"))
-    pivot = placed.select(F.explode("searching").alias("key"), F.col("id").alias("a"), F.col("last").alias("end_a"))
-    prefix = placed.select(F.explode("held").alias("key"), F.col("id").alias("b"), F.col("last").alias("end_b"))
+    placed = stage(numbered.mapInArrow(scan, schema))
+    pivot = placed.select(F.explode("searching").alias("key"), F.col("id").alias("a"), F.col("last").alias("end_a"), F.col("odd").alias("odd_a"))
+    prefix = placed.select(F.explode("held").alias("key"), F.col("id").alias("b"), F.col("last").alias("end_b"), F.col("odd").alias("odd_b"))
     met = pivot.join(prefix, "key").where("end_a <= end_b and a != b")
+    met = met.where(F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * EDITS)
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = placed.select(F.col("id").alias("a"), F.col("word").alias("word_a"), F.col("n").alias("na"))
     second = placed.select(F.col("id").alias("b"), F.col("word").alias("word_b"), F.col("n").alias("nb"))
