@@ -71,6 +71,25 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         low = high
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true begin and end; borders between texts part runs too."""
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    borders = offsets[(offsets > 0) & (offsets < len(inside))]
+    begins[borders] = inside[borders]
+    ends[borders - 1] = inside[borders - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The given ranges of UTF-8 bytes as strings."""
+    size = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at]))
+
+
 def list_column(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list per row out of all values and where each row's values begin (and the last ones end)."""
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))

@@ -40,19 +40,16 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 4096, parts
         encoder = kept.get(tokenizer) or kept.setdefault(tokenizer, Encoder(tokenizer))
         end = little([end_id])
         for batch in batches:
-            rows, size = [], 0
-            texts = batch.column(2)
-            for k, (doc_id, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                ids = encoder.encode(texts[k].as_py()) + end
-                n, start = len(ids) // 4, 0
-                for length in powers(n, longest):
-                    rows.append((doc_id, part, start, length, n, ids[4 * start : 4 * (start + length)]))
-                    start += length
-                size += len(ids)
-                if size > 1 << 23:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            yield _batch(rows)
+            names, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for low, high, ids, bounds in encoder.rows(batch.column(2)):
+                rows = []
+                for k, a, b in zip(range(low, high), bounds.tolist(), bounds[1:].tolist()):
+                    whole, start = ids[a:b].astype("<u4").tobytes() + end, 0
+                    n = b - a + 1
+                    for length in powers(n, longest):
+                        rows.append((names[k], parts[k], start, length, n, whole[4 * start : 4 * (start + length)]))
+                        start += length
+                yield _batch(rows)
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")
     return docs.select("doc_id", part, "text").mapInArrow(pieces, PIECES)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.base import byte_slices, stage
+from episodica.llm.base import byte_slices, runs, stage, strings
 
 MIN_CHARS, MIN_COUNT, LEAD, DAMAGE = 5, 3, 2, 97
 GRAM, EDITS = 2, 1
@@ -69,20 +69,14 @@ class RunCounter:
         """(values, counts) of the words of the texts between the offsets; ``names`` are the texts' doc_ids."""
         inside = self.letter[data]
         inside[1:] |= data[:-1] == 0xC3
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        borders = offsets[(offsets > 0) & (offsets < len(data))]
-        begins[borders] = inside[borders]
-        ends[borders - 1] = inside[borders - 1]
-        starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        starts, ends = runs(inside, offsets)
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         n_chars = chars[ends] - chars[starts]
         long = n_chars >= self.min_chars
         starts, ends, n_chars = starts[long], ends[long], n_chars[long]
         data = self.lower[data]
         if not self.damage:
-            return pc.value_counts(_strings(data, starts, ends))
+            return pc.value_counts(strings(data, starts, ends))
         crc = self._crc(data, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, names)
         hit = crc % self.damage == 0
         changed = []
@@ -90,7 +84,7 @@ class RunCounter:
             run = data[a:b].tobytes().decode()
             if len(run) > self.min_chars:
                 changed.append(run[:at] + run[at + 1 :])
-        whole = _strings(data, starts[~hit], ends[~hit])
+        whole = strings(data, starts[~hit], ends[~hit])
         return pc.value_counts(pa.concat_arrays([whole, pa.array(changed, pa.large_string())]))
 
     def _crc(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, names: list[str]) -> np.ndarray:
@@ -115,13 +109,6 @@ class RunCounter:
         return out
 
 
-def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    size = ends - starts
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], size)
-    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at]))
-
-
 def _pieces(data: np.ndarray, offsets: np.ndarray, letter: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A slice of several texts as it is; one long text in pieces that end between words."""
     if len(offsets) > 2 or len(data) <= SLICE_BYTES:

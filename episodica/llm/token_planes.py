@@ -100,17 +100,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, planes: str =
             )
 
         for batch in batches:
-            texts = batch.column(1)
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.encode(texts[k].as_py()) + end
-                names.append(doc_id)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                size += len(ids) // 4
-                if size >= CHUNK_IDS:
-                    yield full()
-                    chunk += 1
-                    names, lengths, held, size = [], [], [], 0
+            doc_ids = batch.column(0).to_pylist()
+            for low, high, ids, bounds in encoder.rows(batch.column(1)):
+                raw = ids.astype("<u4").tobytes()
+                for k, a, b in zip(range(low, high), bounds.tolist(), bounds[1:].tolist()):
+                    names.append(doc_ids[k])
+                    lengths.append(b - a + 1)
+                    held.append(raw[4 * a : 4 * b] + end)
+                    size += b - a + 1
+                    if size >= CHUNK_IDS:
+                        yield full()
+                        chunk += 1
+                        names, lengths, held, size = [], [], [], 0
         if names:
             yield full()
 
