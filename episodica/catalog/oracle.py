@@ -364,8 +364,8 @@ select {keys}, analysis, grp "group", event, count(*) n_rows, sum(time) as perso
 from {table}, (values ('crude'), ('adjusted')) t(analysis) group by all"""
 
 
-def _risk_sets(keys: str, table: str, weighted: bool, rounded: bool = True) -> str:
-    """Risk sets by day from the full study tables."""
+def _risk_sets(keys: str, table: str, weighted: bool, rounded: bool = True, every_day: bool = False) -> str:
+    """Risk sets by day from the full study tables, on request of every day and with the share still uncensored, g."""
     w = "w" if weighted else "1"
 
     def shown(x: str) -> str:
@@ -398,12 +398,12 @@ surviving as (
   select *, coalesce(product(step) over (partition by {keys}, analysis order by time
                      rows between unbounded preceding and 1 preceding), 1) g
   from steps)
-select {keys}, analysis, time, n_events, {shown('ev')} ev, {shown('eu')} eu,
+select {keys}, analysis, time, n_events,{' g,' if every_day else ''} {shown('ev')} ev, {shown('eu')} eu,
        {shown('yv + g * coalesce(cv, 0)')} risk_v, {shown('yu + g * coalesce(cu, 0)')} risk_u
 from (select *, sum(dv / nullif(g, 0)) over earlier cv, sum(du / nullif(g, 0)) over earlier cu from surviving
       window earlier as (partition by {keys}, analysis order by time
                          rows between unbounded preceding and 1 preceding))
-where n_events > 0"""
+{'' if every_day else 'where n_events > 0'}"""
 
 
 GRID = "population, censoring, variant, outcome, risk_window"
@@ -707,6 +707,39 @@ FITTED = "round(log_hr, 6) log_hr, round(se, 6) se, round(hr, 6) hr, round(hr_in
     "round(low95, 6) low95, round(upper95, 6) upper95, converged"
 oracle("fg_estimates", f"select {GRID}, analysis, n_events, {FITTED} from fits")
 oracle("fg_nco", f"select outcome, analysis, n_events, {FITTED} from control_fits")
+# Score residuals row by row, with every tied event a term of its own, summed per person and squared.
+oracle("fg_robust", f"""
+with fitted as (select * from fits where log_hr is not null),
+days as (
+  select d.*, exp(f.log_hr) r from ({_risk_sets(GRID, 'dense_valid', True, False, True)}) d
+  join fitted f on {_same(GRID + ', analysis', 'd', 'f')}
+), ties as (
+  select {GRID}, analysis, time, k / n_events part, r, (ev + eu) / n_events / ((risk_v - k / n_events * ev) * r + risk_u - k / n_events * eu) h,
+         (risk_v - k / n_events * ev) * r / ((risk_v - k / n_events * ev) * r + risk_u - k / n_events * eu) mean
+  from (select *, unnest(range(n_events::bigint)) k from days where n_events > 0)
+), taken as (
+  select {GRID}, analysis, time, sum(r * h * (1 - mean)) av, sum(-h * mean) au, sum(part * r * h * (1 - mean)) bv,
+         sum(-part * h * mean) bu, avg(mean) mean
+  from ties group by all
+), running as (
+  select d.*, t.bv, t.bu, t.mean, sum(coalesce(av, 0)) over upto sv, sum(coalesce(au, 0)) over upto su,
+         sum(g * coalesce(av, 0)) over upto cv, sum(g * coalesce(au, 0)) over upto cu,
+         sum(g * coalesce(av, 0)) over whole tv, sum(g * coalesce(au, 0)) over whole tu
+  from days d left join taken t on d.time = t.time and {_same(GRID + ', analysis', 'd', 't')}
+  window upto as (partition by {', '.join('d.' + x.strip() for x in GRID.split(','))}, d.analysis order by d.time),
+         whole as (partition by {', '.join('d.' + x.strip() for x in GRID.split(','))}, d.analysis)
+), residuals as (
+  select {', '.join('d.' + x.strip() for x in GRID.split(','))}, d.analysis, person_id, case when d.analysis = 'crude' then 1 else weight end *
+    case when grp = 'vaccinated'
+      then case event when 1 then 1 - mean - (sv - bv) when 0 then -sv else -(sv + coalesce((tv - cv) / nullif(g, 0), 0)) end
+      else case event when 1 then 0 - mean - (su - bu) when 0 then -su else -(su + coalesce((tu - cu) / nullif(g, 0), 0)) end end u
+  from dense_valid p join running d on p.time = d.time and {_same(GRID, 'p', 'd')}
+), spread as (
+  select {GRID}, analysis, sum(u * u) meat from (select {GRID}, analysis, person_id, sum(u) u from residuals group by all) group by all
+)
+select {', '.join('f.' + x.strip() for x in GRID.split(','))}, f.analysis, n_events, round(log_hr, 6) log_hr, round(se, 6) se, round(sqrt(meat) * se * se, 6) robust_se,
+       round(exp(log_hr - {Z} * sqrt(meat) * se * se), 6) robust_low95, round(exp(log_hr + {Z} * sqrt(meat) * se * se), 6) robust_upper95
+from fitted f join spread s on {_same(GRID + ', analysis', 'f', 's')}""")
 oracle("effect_report", f"""
 select {', '.join(f'k.{x.strip()}' for x in GRID.split(','))}, k.analysis, k.cohortId "cohortId", k.cohortName "cohortName",
        round(hr, 6) "HR", round(hr_inverse, 6) "HRinvers", round(low95, 6) "low95", round(upper95, 6) "upper95",

@@ -826,6 +826,18 @@ def fg_estimates(s: Study) -> DataFrame:
     return _fitted(s.estimates)
 
 
+@query
+def fg_robust(s: Study) -> DataFrame:
+    """Intervals from the sandwich variance, a person's rows taken together."""
+    squared = (F.col("weight") * F.col("weight")).alias("weight2")
+    people, rows = s.populations.select("*", squared), s.event_rows.select("*", squared)
+    sums = te.study_sums(people, rows, s.config, ["weight", "weight2"], ["population"])
+    days = su.risk_days(sums, GRID, ANALYSES, squares={"crude": "n", "adjusted": "weight2"})
+    scores = s.stages.save(su.score_table(days, [*GRID, "analysis"], s.config.min_events), "scores")
+    found = su.robust_effects(scores, rows, GRID, {"crude": None, "adjusted": "weight"})
+    return found.select(*GRID, "analysis", "n_events", *[r6(c) for c in ("log_hr", "se", "robust_se", "robust_low95", "robust_upper95")])
+
+
 @query
 def effect_report(s: Study) -> DataFrame:
     """The whole grid of results: 3 populations x 2 analyses x 6 censoring variants x 44 outcomes and windows."""

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodica.config import CENSORED, DEATH, EVENT, VACCINATED
+
 Z95 = NormalDist().inv_cdf(0.975)
 
 
@@ -33,6 +35,22 @@ def risk_sets(
     death. ``weighted_censoring`` estimates that probability from weights, otherwise
     from counts. On one day events and deaths come before censoring.
     """
+    days = risk_days(sums, keys, weightings, weighted_censoring)
+    return days.drop("free")
+
+
+def risk_days(
+    sums: DataFrame,
+    keys: list[str],
+    weightings: dict[str, str],
+    weighted_censoring: bool = True,
+    squares: dict[str, str] | None = None,
+) -> DataFrame:
+    """As :func:`risk_sets`, with ``free``, the probability of being uncensored before the day.
+
+    With ``squares`` (for an analysis the prefix of the sums of its squared weights) all days are kept, and the squares
+    of the rows that end on them as ``sq_ev`` ...
+    """
     past = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
     from_now = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(
         Window.unboundedPreceding, 0
@@ -71,13 +89,18 @@ def risk_sets(
         for p in prefixes
         for a in "vu"
     }
-    staged = staged.withColumns(dead).where(F.col("n_ev") + F.col("n_eu") > 0)
+    staged = staged.withColumns(dead)
+    if squares is None:
+        staged = staged.where(F.col("n_ev") + F.col("n_eu") > 0)
+    ending = [f"{c}{a}" for c in "edc" for a in "vu"] if squares else []
     analyses = [
         F.struct(
             F.lit(name).alias("analysis"),
             *[F.col(f"{p}_e{a}").cast("double").alias(f"e{a}") for a in "vu"],
             *[(F.col(f"{p}_risk_{a}") + free(p) * F.col(f"{p}_dead_{a}")).alias(f"risk_{a}")
               for a in "vu"],
+            free(p).alias("free"),
+            *[F.col(f"{squares[name]}_{m}").cast("double").alias(f"sq_{m}") for m in ending],
         )
         for name, p in weightings.items()
     ]
@@ -86,7 +109,10 @@ def risk_sets(
         "time",
         (F.col("n_ev") + F.col("n_eu")).alias("n_events"),
         F.explode(F.array(*analyses)).alias("a"),
-    ).select(*keys, "a.analysis", "time", "n_events", "a.ev", "a.eu", "a.risk_v", "a.risk_u")
+    ).select(
+        *keys, "a.analysis", "time", "n_events", "a.ev", "a.eu", "a.risk_v", "a.risk_u", "a.free",
+        *[f"a.sq_{m}" for m in ending],
+    )
 
 
 def tie_sums(n: np.ndarray, x: np.ndarray, direct: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -195,3 +221,116 @@ def estimate(
     events = F.sum("n_events").over(Window.partitionBy(*one))
     gated = risk.withColumn("_events", events).where(F.col("_events") >= min_events)
     return fine_gray(gated.drop("_events"), one)
+
+
+# --- robust interval ------------------------------------------------------------------------
+
+SCORES = [f"u_{c}{a}" for c in "edc" for a in "vu"]
+
+
+def day_scores(
+    n: np.ndarray, ev: np.ndarray, eu: np.ndarray, rv: np.ndarray, ru: np.ndarray, free: np.ndarray, beta: float
+) -> dict[str, np.ndarray]:
+    """What a row adds to the score of the fitted model per unit of its weight, by the day and way it ends and its arm.
+
+    A row takes from the score its share in the events of all days it is at risk on; a row that has an event adds its own.
+    A death stays at risk with a weight that shrinks from its day on. Days ascend; those without events only pass on the
+    running sums. Tied events follow Efron's rule, in sums of constant time as in :func:`newton`.
+    """
+    ratio = np.exp(beta)
+    at_risk, tied = rv * ratio + ru, ev * ratio + eu
+    has = (n > 0) & (tied > 0)
+    k, at, ties = n[has], at_risk[has], tied[has]
+    once, twice = tie_sums(k, k * at / ties)
+    one, two = once * k / ties, twice * (k / ties) ** 2  # sums of 1 / (risk set) and of its square over the tied events
+    weight = (ev + eu)[has] / k
+    # The vaccinated share of the shrinking risk set: a constant part and one over the risk set.
+    flat = ev[has] * ratio / ties
+    over = rv[has] * ratio - flat * at
+    share = np.zeros(len(n))
+    share[has] = flat + over * one / k
+    spared_one, spared_two = at / ties * one - k / ties, at / ties * two - one / ties
+    out = {}
+    for arm, x, r in (("v", 1.0, ratio), ("u", 0.0, 1.0)):
+        taken, spared = np.zeros(len(n)), np.zeros(len(n))
+        taken[has] = weight * r * ((x - flat) * one - over * two)
+        spared[has] = weight * r * ((x - flat) * spared_one - over * spared_two)
+        so_far, weighted = np.cumsum(taken), np.cumsum(free * taken)
+        later = np.divide(weighted[-1:] - weighted, free, out=np.zeros(len(n)), where=free > 0)
+        out[f"u_e{arm}"] = x - share - (so_far - spared)
+        out[f"u_d{arm}"] = -(so_far + later)
+        out[f"u_c{arm}"] = -so_far
+    return out
+
+
+def score_table(days: DataFrame, keys: list[str], min_events: int = 1) -> DataFrame:
+    """Per analysis and day the scores ``u_ev`` ... of a row that ends there, the fit, and the day's sum of squared scores.
+
+    ``days`` from :func:`risk_days` with squares. Analyses with fewer events or without a finite fit have no rows.
+    """
+    types = {f.name: f for f in days.schema.fields}
+    numbers = ["log_hr", "se", "squares", *SCORES]
+    schema = T.StructType([types[k] for k in keys] + [types["time"], T.StructField("n_events", T.LongType())]
+                          + [T.StructField(c, T.DoubleType()) for c in numbers])
+
+    def scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("time")
+        columns = [pdf[c].to_numpy(float) for c in ("n_events", "ev", "eu", "risk_v", "risk_u")]
+        with_events = columns[0] > 0
+        beta, se = np.nan, np.nan
+        if columns[0].sum() >= min_events and columns[1].sum() > 0 and columns[2].sum() > 0:
+            beta, se, _ = newton(*[c[with_events] for c in columns])
+        if not np.isfinite(beta):
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
+        found = day_scores(*columns, pdf["free"].to_numpy(float), beta)
+        squares = sum(pdf[f"sq_{c[2:]}"].to_numpy(float) * found[c] ** 2 for c in SCORES)
+        events = int(columns[0].sum())
+        names = {k: [pdf[k].iloc[0]] * len(pdf) for k in keys}
+        return pd.DataFrame({**names, "time": pdf["time"].to_numpy(), "n_events": events, "log_hr": beta,
+                             "se": se, "squares": squares, **found})
+
+    return days.groupBy(*keys).applyInPandas(scores, schema)
+
+
+def robust_effects(
+    scores: DataFrame, rows: DataFrame, keys: list[str], weightings: dict[str, str | None], min_time: int = 1
+) -> DataFrame:
+    """Estimates with the sandwich standard error, rows of one person summed before they are squared.
+
+    ``scores``: a stored :func:`score_table` over ``keys`` and analysis. Persons with one row of an analysis enter through the
+    sums of squared weights per day; only those with several rows, all among ``rows`` (from ``event_rows``), are looked up one
+    by one. ``weightings`` maps an analysis to the weight column of ``rows``, None for 1.
+    """
+    one = [*keys, "analysis"]
+    person = [*keys, "person_id"]
+    several = rows.where(F.col("time") >= min_time).withColumn("_n", F.count("*").over(Window.partitionBy(*person)))
+    weights = F.array(*[
+        F.struct(F.lit(name).alias("analysis"), (F.col(c).cast("double") if c else F.lit(1.0)).alias("w"))
+        for name, c in weightings.items()
+    ])
+    several = several.where("_n > 1").select(*person, "group", "time", "event", F.explode(weights).alias("a"))
+    several = several.select(*person, "group", "time", "event", "a.analysis", "a.w").alias("r")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*one, "time")])
+    arm = F.col("r.group") == VACCINATED
+    score = F.lit(None).cast("double")
+    for code, event in (("e", EVENT), ("d", DEATH), ("c", CENSORED)):
+        here = F.when(arm, F.col(f"s.u_{code}v")).otherwise(F.col(f"s.u_{code}u"))
+        score = F.when(F.col("r.event") == event, here).otherwise(score)
+    u = F.col("r.w") * score
+    looked_up = several.join(scores.alias("s"), same).select(*[F.col(f"r.{c}") for c in (*one, "person_id")], u.alias("u"))
+    crossed = looked_up.groupBy(*one, "person_id").agg((F.sum("u") * F.sum("u") - F.sum(F.col("u") * F.col("u"))).alias("x"))
+    crossed = crossed.groupBy(*one).agg(F.sum("x").alias("x")).alias("x")
+    fitted = scores.groupBy(*one).agg(
+        F.max("n_events").alias("n_events"), F.max("log_hr").alias("log_hr"), F.max("se").alias("se"),
+        F.sum("squares").alias("squares"),
+    ).alias("f")
+    same = reduce(lambda a, b: a & b, [F.col(f"f.{k}").eqNullSafe(F.col(f"x.{k}")) for k in one])
+    joined = fitted.join(crossed, same, "left")
+    meat = F.greatest(F.col("f.squares") + F.coalesce("x.x", F.lit(0.0)), F.lit(0.0))
+    out = joined.select(*[F.col(f"f.{c}") for c in (*one, "n_events", "log_hr", "se")],
+                        (F.sqrt(meat) * F.col("f.se") * F.col("f.se")).alias("robust_se"))
+    return out.select(
+        "*",
+        F.exp(F.col("log_hr") - Z95 * F.col("robust_se")).alias("robust_low95"),
+        F.exp(F.col("log_hr") + Z95 * F.col("robust_se")).alias("robust_upper95"),
+    )

@@ -38,7 +38,7 @@ def simulate(spark, n=400, seed=1):
             spark.createDataFrame(outcomes, OUTCOME).distinct())
 
 
-def dense_rows(population, outcomes, censoring, variant, outcome, window):
+def dense_rows(population, outcomes, censoring, variant, outcome, window, people=None):
     """The study table of one analysis as the definition reads."""
     rows, of_person = [], {}
     for o in outcomes:
@@ -60,6 +60,8 @@ def dense_rows(population, outcomes, censoring, variant, outcome, window):
             time = (end - p.index_date).days
             if time >= 1:
                 rows.append((p.group == "vaccinated", time, event, p.weight))
+                if people is not None:
+                    people.append(p.person_id)
     return rows
 
 
@@ -257,3 +259,54 @@ def test_violations(spark):
     got = {r.censoring: (r.n_rows, r.n_violations) for r in te.censor_violations(rows).collect()}
     assert got == {"vaccine": (1, 1), "both": (1, 0)}
     assert rows.where(F.col("event") == 1).count() == 2
+
+
+def row_level_robust(rows, people, beta):
+    """Sum over persons of the squared sums of their rows' score residuals, every tied event a term of its own."""
+    x, t, e, w = (np.array([float(r[k]) for r in rows]) for k in range(4))
+    step = {s: 1 - w[(t == s) & (e == 0)].sum() / max(w[(t > s) | ((t == s) & (e == 0))].sum(), 1e-300) for s in set(t)}
+
+    def uncensored(at):
+        return np.prod([v for s, v in step.items() if s < at])
+
+    residual = np.zeros(len(rows))
+    for s in sorted(set(t[e == 1])):
+        who = np.flatnonzero((t == s) & (e == 1))
+        at_risk = np.where(t >= s, 1.0, 0.0)
+        for i in np.flatnonzero((t < s) & (e == 2)):
+            at_risk[i] = uncensored(s) / uncensored(t[i])
+        means = []
+        for k in range(len(who)):
+            part = at_risk.copy()
+            part[who] -= k / len(who)
+            risk = w * part * np.exp(beta * x)
+            mean = (risk * x).sum() / risk.sum()
+            residual -= risk / risk.sum() * w[who].mean() * (x - mean)
+            means.append(mean)
+        residual[who] += w[who] * (x[who] - np.mean(means))
+    assert abs(residual.sum()) < 1e-6
+    return sum(residual[np.array(people) == p].sum() ** 2 for p in set(people))
+
+
+def test_robust_interval_equals_row_level(spark, simulated):
+    population, outcomes = simulated
+    squared = (F.col("weight") * F.col("weight")).alias("weight2")
+    people, rows = population.select("*", squared), te.event_rows(population, outcomes).select("*", squared)
+    assert rows.groupBy(*te.CELL, "person_id").count().where("count > 1").count() > 20
+    sums = te.study_sums(people, rows, StudyConfig(), ["weight", "weight2"])
+    days = su.risk_days(sums, te.CELL, {"crude": "n", "adjusted": "weight"}, squares={"crude": "n", "adjusted": "weight2"})
+    scores = su.score_table(days, [*te.CELL, "analysis"], 5).cache()
+    found = {
+        (r.censoring, r.variant, r.outcome, r.risk_window, r.analysis): r
+        for r in su.robust_effects(scores, rows, te.CELL, {"crude": None, "adjusted": "weight"}).collect()
+    }
+    persons, events = population.collect(), outcomes.collect()
+    for cell in [("none", "partial", "DVT", 1), ("none", "full", "HF", 2), ("vaccine", None, "VTE", 4)]:
+        for analysis in ("crude", "adjusted"):
+            ids = []
+            table = dense_rows(persons, events, *cell, ids)
+            table = table if analysis == "adjusted" else [(a, b, c, 1.0) for a, b, c, _ in table]
+            r = found[(*cell, analysis)]
+            meat = row_level_robust(table, ids, r.log_hr)
+            assert r.robust_se == pytest.approx(np.sqrt(meat) * r.se**2, rel=1e-8)
+            assert r.robust_low95 == pytest.approx(np.exp(r.log_hr - su.Z95 * r.robust_se))
