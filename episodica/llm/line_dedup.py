@@ -1,23 +1,28 @@
 """Fuzzy line deduplication by MinHash over character shingles, in DataFrame functions alone.
 
-A text's lines end at line feeds. Lines are compared trimmed and in lower case; lines shorter than ``MIN_CHARS`` then are
-left alone. A line's set holds its distinct runs of ``SHINGLE`` characters; two lines are linked if the Jaccard similarity of
-their sets is ``PERCENT`` hundredths or more. Of each component only the first line (by doc_id, place, then text) stays.
+A text's lines end at line feeds. Lines are compared trimmed and in lower case. A line's set holds its distinct runs of
+``SHINGLE`` characters; two lines are linked if the Jaccard similarity of their sets is ``PERCENT`` hundredths or more. Lines
+shorter than ``MIN_CHARS`` have too few shingles for that and are linked with equal lines only; empty lines are left alone. Of
+each component only the first line (by doc_id, place, then text) stays.
 
 1. Equal lines are one node, named by a 64-bit hash, so copies meet nowhere but in a count.
 2. Signatures: ``BANDS`` x ``ROWS`` minima of the hashes of all of a line's shingles, each under its own xor mask (which orders the
    hashes anew). Each distinct line is signed once. A pair of similarity 0.8 shares none of the 8 bands of 3 rows with
    probability 0.003.
-3. Pairs that share a band (see ``linking``) are verified on the full sets of the hashes of all shingles.
+3. Pairs that share a band (see ``linking``) and at least ``LEAST_EQUAL`` of all minima are verified on the full sets of the hashes
+   of all shingles. A pair of similarity 0.8 has fewer equal minima with probability 7e-6; most others end here, before any
+   set is built, and pairs of a bucket's members are told apart inside the join that makes them.
 4. Components come from union-find over tables.
 
-Null texts have no lines; empty lines stay. Equal doc_ids with equal texts are one document. Rows without doc_id come
+Null texts have no lines. Equal doc_ids with equal texts are one document. Rows without doc_id come
 first in the order. Columns other than doc_id and text are carried by ``clean`` and not read otherwise.
 """
 
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,7 @@ from episodica.llm.base import hashed_parts, stage
 from episodica.llm.components import union_find
 from episodica.llm.linking import linked, shared_members
 
-SHINGLE, MIN_CHARS, PERCENT, BANDS, ROWS = 8, 16, 80, 8, 3
+SHINGLE, MIN_CHARS, PERCENT, BANDS, ROWS, LEAST_EQUAL = 8, 16, 80, 8, 3, 10
 
 
 def text_key() -> Column:
@@ -41,24 +46,34 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.lower(F.trim("line")))
 
 
-def compared(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    return lines.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
+def compared(lines: DataFrame) -> DataFrame:
+    return lines.where("line != ''").withColumn("id", F.xxhash64("line"))
 
 
-def bands_of(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(bucket, id) from (id, line). Two bytes hold a character, so a shingle is cut in constant time."""
+def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """(id, m0, m1, ...) from (id, line), the upper halves of the minima. Two bytes hold a character, so a shingle is cut in
+    constant time."""
     draw = random.Random(1)
     masks = [draw.getrandbits(64) - (1 << 63) for _ in range(bands * rows)]
     wide = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("u") - 2 * size + 1), F.lit(2))
     cells = wide.select("id", "u", F.explode(starts).alias("at"))
     hashes = cells.select("id", F.xxhash64(F.substr("u", F.col("at"), F.lit(2 * size))).alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)]
-    signed = hashes.groupBy("id").agg(*least)
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))) for m in masks]
+    return hashes.groupBy("id").agg(*[F.shiftright(m, 32).cast("int").alias(f"m{k}") for k, m in enumerate(least)])
+
+
+def bands_of(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(bucket, id): a line's buckets, one a band."""
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
     return signed.select(F.explode(F.array(*keys)).alias("bucket"), "id")
 
 
+def alike(n: int, least: int) -> Column:
+    """Whether the signatures m0, m1, ... and k0, k1, ... agree in enough places."""
+    return reduce(add, [(F.col(f"m{k}") == F.col(f"k{k}")).cast("int") for k in range(n)]) >= least
+
+
 def with_shingles(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Adds s, the hashes of a line's shingles.
 
@@ -71,18 +86,17 @@ def with_shingles(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. Lines travel as text, a tenth of their sets; sizes part most pairs."""
-    a = texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("line").alias("line_a"))
-    b = texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("line").alias("line_b"))
-    sizes = texts.select(F.col("id").alias("b"), F.col("n").alias("m"))
-    sized = pairs.join(sizes, "b").join(a, "a").where(100 * F.least("na", "m") >= percent * F.greatest("na", "m"))
+    """Pairs whose full sets are similar enough. Lines travel as text, a tenth of their sets."""
+    a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+    b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     # Dealt by number: a few short pairs would else be drawn into one task, and their sets are what takes the time.
-    both = sized.drop("m").repartition(hashed_parts(pairs.sparkSession), "b").join(b, "b")
+    both = pairs.join(a, "a").repartition(hashed_parts(pairs.sparkSession), "b").join(b, "b")
     both = with_shingles(both.withColumnRenamed("line_a", "line"), size).withColumnRenamed("s", "sa").drop("line")
     both = with_shingles(both.withColumnRenamed("line_b", "line"), size)
     # The same as 100 * shared >= percent * union, with the shared ones named (and so computed) once.
     shared = F.size(F.array_intersect("sa", "s"))
-    return both.where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    sizes = F.size(F.array_distinct("sa")) + F.size(F.array_distinct("s"))
+    return both.where((100 + percent) * shared >= percent * sizes).select("a", "b")
 
 
 def removed_lines(
@@ -92,23 +106,38 @@ def removed_lines(
     bands: int = BANDS,
     rows: int = ROWS,
     size: int = SHINGLE,
+    least_equal: int = LEAST_EQUAL,
 ) -> DataFrame:
     """(doc_id, key, places): the lines of each document that are near copies of an earlier one."""
-    lines = compared(lines_of(docs), min_chars)
+    lines = compared(lines_of(docs))
     named = stage(lines.select("doc_id", "key", "place", "id"))
     # Equal lines meet within tasks first; the id follows from the line.
-    distinct = stage(lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line"))
-    members = bands_of(distinct, bands, rows, size)
-    shared = stage(shared_members(members))
-    texts = distinct.join(shared.select("id").distinct(), "id", "left_semi")
-    texts = stage(with_shingles(texts, size).select("id", "line", F.size(F.array_distinct("s")).alias("n")))
-
-    components = linked(shared, lambda pairs: _similar(pairs, texts, percent, size), union_find, percent)
+    distinct = lines.where(F.length("line") >= min_chars).select("line").distinct()
+    distinct = stage(distinct.select(F.xxhash64("line").alias("id"), "line"))
+    signed = stage(signatures(distinct, bands, rows, size))
+    shared = stage(shared_members(bands_of(signed, bands, rows)))
+    mine = shared.select("id").distinct()
+    texts = stage(distinct.join(mine, "id", "left_semi"))
+    n = bands * rows
+    first = stage(signed.join(mine, "id", "left_semi"))
+    second = first.select(F.col("id").alias("b"), *[F.col(f"m{k}").alias(f"k{k}") for k in range(n)])
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(first.withColumnRenamed("id", "a"), "a").join(second, "b").where(alike(n, least_equal))
+        return _similar(near.select("a", "b"), texts, percent, size)
+
+    def meet(rest: DataFrame) -> DataFrame:
+        """Members of a bucket in different components whose signatures are alike, told apart within the join."""
+        one = rest.join(first, "id").withColumnRenamed("id", "a")
+        other = rest.withColumnsRenamed({"id": "b", "c": "d"}).join(second, "b")
+        return one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & alike(n, least_equal)).select("a", "b")
+
+    components = linked(shared, similar, union_find, percent, meet=meet)
     seen = named.join(components, "id", "left")
     seen = seen.select("doc_id", "key", "place", F.coalesce("component", "id").alias("component"))
     order = F.struct("doc_id", "place", "key")
-    first = seen.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    gone = seen.join(first.where("n > 1"), "component")
+    leading = seen.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    gone = seen.join(leading.where("n > 1"), "component")
     gone = gone.where(~order.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
@@ -138,8 +167,10 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     """The documents without their removed lines; a document all of whose text went is left out."""
     gone = removed_lines(docs, **options)
     joined = _with_places(docs, F.xxhash64(docs["text"]), gone)
-    places, old = F.col("_places"), docs["text"]
-    kept = F.filter(F.split(old, "\n", -1), lambda line, place: ~F.array_contains(places, place))
+    places, old, whole = F.col("_places"), docs["text"], F.col("_whole")
+    # Through the generator a text is split once; inlined into the lambda it would be split for every line.
+    joined = joined.select("*", F.explode(F.array(F.when(places.isNotNull(), F.split(old, "\n", -1)))).alias("_whole"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), places)  # a hash set: linear in the lines
+    kept = F.transform(left, lambda place: F.get(whole, place))
     text = F.when(places.isNull(), old).otherwise(F.array_join(kept, "\n"))
-    left = joined.where(places.isNull() | (F.trim(text) != ""))
-    return left.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    return joined.where(places.isNull() | (F.trim(text) != "")).select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])

@@ -8,9 +8,10 @@
    link left to find; once they are set aside, others fail too, until nothing changes. This loses no link. Before the last
    step the same is asked of the elements that occur in partners of each size.
 3. Those that remain meet a second leader of their bucket, drawn by a hash, which joins the fragments of large groups.
-4. What is left is compared pair by pair, inside the tasks that hold the buckets (``compare``) or as a join.
+4. What is left is compared pair by pair, inside the tasks that hold the buckets (``compare``), or in a join whose condition
+   tells most pairs apart (``meet``), so that only the few that may be links leave it.
 
-Steps 2 and 4 in tasks need the sets' elements as rows, which pays for long texts; without them the pairs are joined.
+Steps 2 and 4 in tasks need the sets' elements as rows, which pays for long texts.
 """
 
 from __future__ import annotations
@@ -89,13 +90,14 @@ def linked(
     percent: int,
     elements: Step | None = None,
     compare: Compare | None = None,
+    meet: Step | None = None,
 ) -> DataFrame:
     """(id, component) of all ids with a similar partner in a bucket.
 
     ``shared``: a stored table (bucket, id, leader). ``similar`` keeps the pairs (a, b) that are links; ``elements`` gives
     (id, n, h) for a table of ids: the size of each set and a row per element. ``compare`` does the last step: it gets the
     rows of the ids left and their buckets (bucket, id, c) and gives links that join all similar ids. Without these two, no
-    member is set aside and the pairs left are joined by bucket.
+    member is set aside, and ``meet`` gives the pairs (a, b) of different c in a bucket that may be links.
     """
     pairs = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = stage(similar(pairs))
@@ -118,9 +120,6 @@ def linked(
         rest = rest.drop("c").join(named, "id")
         more = compare(rows.join(named.select("id"), "id", "left_semi"), rest)
     else:
-        rest = stage(rest)
-        other = rest.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
-        pairs = rest.join(other, "bucket").where("id < b and c != d").select(F.col("id").alias("a"), "b")
-        more = similar(pairs.distinct())
+        more = similar(meet(stage(rest)).distinct())
     more = stage(more)
     return components(links.union(more)) if more.take(1) else found

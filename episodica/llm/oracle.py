@@ -11,9 +11,12 @@ with recursive raw as (
   select doc_id, string_split(text, chr(10)) ls from documents
 ), lines as (
   select doc_id, unnest(range(len(ls))) place, lower(trim(unnest(ls))) line from raw where ls is not null
-), used as (select * from lines where length(line) >= 16),
+), used as (select * from lines where line <> ''),
 nodes as (select line, row_number() over (order by line) id from (select distinct line from used)),
-grams as (select distinct id, substring(line, i, 8) g from (select id, line, unnest(range(1, length(line) - 6)) i from nodes)),
+grams as (
+  select distinct id, substring(line, i, 8) g
+  from (select id, line, unnest(range(1, length(line) - 6)) i from nodes where length(line) >= 16)
+),
 sizes as (select id, count(*) n from grams group by id),
 shared as (select a.id x, b.id y, count(*) k from grams a join grams b on a.g = b.g and a.id < b.id group by 1, 2),
 links as (

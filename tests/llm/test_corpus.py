@@ -254,13 +254,30 @@ def test_line_dedup(spark, docs, empty):
     rows = [(2, f"{line}\nshort\nunlike anything else in here"), (1, f"{line}!\nshort"), (5, line.upper()), (None, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = as_rows(line_dedup.report(table), "doc_id", "n_lines", "n_removed", "removed_lines")
-    assert got == [(1, 2, 0, ""), (2, 3, 1, "0"), (5, 1, 1, "0"), (None, 0, 0, "")]
+    assert got == [(1, 2, 0, ""), (2, 3, 2, "0,1"), (5, 1, 1, "0"), (None, 0, 0, "")]
     clean = line_dedup.clean(table).collect()
-    assert {r.doc_id: r.text for r in clean} == {2: "short\nunlike anything else in here", 1: f"{line}!\nshort", None: None}
+    assert {r.doc_id: r.text for r in clean} == {2: "unlike anything else in here", 1: f"{line}!\nshort", None: None}
     assert line_dedup.clean(docs).columns == docs.columns
     assert line_dedup.report(empty).count() == 0
 
 
+def test_short_lines_are_equal_or_left(spark):
+    rows = [(1, "Yes\n\nno\n\n"), (2, " yes \nyess\n\nfifteen letters"), (3, "fifteen letterz\nFIFTEEN LETTERS\n"), (4, "no\nno\nno"), (5, "\n\n")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_rows(line_dedup.report(table), "doc_id", "n_lines", "removed_lines")
+    assert got == [(1, 5, ""), (2, 4, "0"), (3, 3, "1"), (4, 3, "0,1,2"), (5, 3, "")]
+    assert {r.doc_id: r.text for r in line_dedup.clean(table).collect()} == {
+        1: "Yes\n\nno\n\n", 2: "yess\n\nfifteen letters", 3: "fifteen letterz\n", 5: "\n\n"
+    }
+
+
+def test_clean_is_linear_in_the_lines_of_a_text(spark):
+    """Of 60,000 lines in one text, each written twice, half go."""
+    text = "\n".join(f"line {k % 30_000}" for k in range(60_000))
+    clean = line_dedup.clean(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == "\n".join(f"line {k}" for k in range(30_000))
+
+
 def test_decontaminate(spark, docs, empty):
     items = [(1, BASE), (2, "one two"), (3, None), (4, "!!"), (None, "second line of the text here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
