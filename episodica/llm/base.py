@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -50,6 +52,16 @@ def free_worker_caches() -> None:
     sys.modules.pop("_episodica_worker_cache", None)
 
 
+def give_back_memory() -> None:
+    """At the end of a task: a worker that waits for the next one leaves what it freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about ``limit`` bytes, a longer text alone.
 

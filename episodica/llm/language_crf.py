@@ -15,7 +15,6 @@ equal results. Columns other than text are carried, under any names but ``lang_p
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.base import byte_slices, free_worker_caches
+from episodica.llm.base import byte_slices, free_worker_caches, give_back_memory
 from episodica.llm.words import Alphabet, Powers, Words, cut, mix
 
 LETTERS = Alphabet([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)], lower=True)
@@ -132,7 +131,10 @@ def _sequences(words: Words, data: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], bits: int = BITS, row_words: int = ROW_WORDS, steps: int = STEPS) -> Model:
-    """Maximise the likelihood of the labelled words, by Adam over all chains at once."""
+    """Maximise the likelihood of the labelled words, by Adam over all chains at once.
+
+    A row with more than ``row_words`` words gives chains drawn from all over its text, until they hold that many.
+    """
     labels = sorted({lang for lang, _ in rows})
     raw = [text.encode() for _, text in rows]
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -140,11 +142,18 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, row_words: int = ROW_WORD
     rng = np.random.default_rng(5)
     pieces = []
     for k, (lang, _) in enumerate(rows):
-        at, end = int(words.first[k]), min(int(words.first[k + 1]), int(words.first[k]) + row_words)
+        at, end = int(words.first[k]), int(words.first[k + 1])
+        chains, left = [], row_words
         while at < end:
             n = min(int(rng.integers(4, 40)), end - at)
-            pieces.append((at, n, labels.index(lang)))
+            chains.append((at, n, labels.index(lang)))
             at += n
+        if sum(n for _, n, _ in chains) > row_words:  # chains from all over a long text
+            rng.shuffle(chains)
+        for chain in chains:
+            if left > 0:
+                pieces.append(tuple(int(x) for x in chain))
+                left -= chain[1]
     weights, transition = np.zeros((1 << bits, len(labels))), np.zeros((len(labels), len(labels)))
     if not pieces:
         return Model(labels, weights, transition)
@@ -192,7 +201,9 @@ def sample(docs: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, str]]
     return out
 
 
-LETTER = re.compile(r"[^\W\d_]")
+def lettered(text: str) -> bool:
+    """Whether a text holds a letter (Unicode category L); numbers such as "½" or "Ⅳ" are none."""
+    return any(map(str.isalpha, text))
 
 
 def _score(batch: pa.RecordBatch, at: int, model: Model, powers: Powers) -> tuple[list[str], list[float]]:
@@ -212,10 +223,10 @@ def _score(batch: pa.RecordBatch, at: int, model: Model, powers: Powers) -> tupl
         plain[65:91] = plain[97:123] = True
         letters = np.concatenate([[0], np.cumsum(plain[data])])
         for k in range(high - low):
-            lettered = letters[offsets[k + 1]] > letters[offsets[k]] or bool(
-                counts[k] and LETTER.search(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"))
+            some = letters[offsets[k + 1]] > letters[offsets[k]] or bool(
+                counts[k] and lettered(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"))
             )
-            if not lettered or not model.labels:
+            if not some or not model.labels:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
@@ -240,6 +251,8 @@ def predict(docs: DataFrame, model: Model, carried: list[str] | None = None) ->
             names, scores = _score(batch, columns.index("text"), own, powers)
             more = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *more], [*carried, "lang_pred", "score"])
+        del own, powers
+        give_back_memory()
 
     fields = [kept.schema.fields[c] for c in places]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -357,6 +357,9 @@ def test_language_held_out_accuracy_and_odd_texts(spark, docs, empty):
     assert right / n > 0.97
     odd = {r.doc_id: (r.lang_pred, r.score) for r in language_crf.predict(docs, model).collect()}
     assert odd[3] == odd[4] == odd[5] == odd[13] == ("und", 0.0)
+    signs = spark.createDataFrame(enumerate(["½ ²", "① Ⅳ", "_ ٣", "ª", "中", "e\u0301"]), "doc_id long, text string")
+    named = {r.doc_id: r.lang_pred != "und" for r in language_crf.predict(signs, model).collect()}
+    assert named == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True}
     assert language_crf.predict(docs, model).columns == [*docs.columns, "lang_pred", "score"]
     assert language_crf.predict(empty, language_crf.train(empty)).count() == 0
     assert language_crf.predict(docs, language_crf.train(empty)).where("lang_pred <> 'und'").count() == 0
