@@ -21,28 +21,38 @@ END_ID = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those in which no language holds half of the words."""
-    scored = language_crf.predict(docs, language_crf.train(docs))
-    return scored.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drops texts without letters and those in which no language holds half of the words.
+
+    Null and empty texts go, repeated rows stay or go alike, an empty table stays empty. The input's columns are packed
+    into one meanwhile, so columns of any name (``score`` too) come back as they were.
+    """
+    whole = F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("whole")
+    scored = language_crf.predict(docs.select(whole, "text"), language_crf.train(docs), carried=["whole"])
+    kept = scored.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(f"whole.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that are near copies of an earlier line, and documents of which nothing is left."""
-    return line_dedup.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Drops lines that are near copies of an earlier line, and documents of which nothing is left.
+
+    Null texts stay, of equal lines the first by (doc_id, place) stays, ``n_chars`` follows the text where the table has it.
+    """
+    kept = line_dedup.clean(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest doc_id; texts without words all stay."""
     return minhash.deduplicate(docs, percent=SIMILAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more lies in passages of the benchmark."""
+    """Drops documents of which a twentieth or more lies in passages of the benchmark; texts without words stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of powers of two, with their ids."""
+    """Token sequences of powers of two, with their ids; an empty text holds its end id alone."""
     return packing.pack(docs, word_bpe(), END_ID)
 
 
