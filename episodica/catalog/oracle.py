@@ -648,6 +648,19 @@ oracle("overlap_weights", """
 select person_id, grp "group", round(ps, 6) ps,
        round(case when grp = 'vaccinated' then 1 - ps else ps end, 6) weight
 from members join scores using (person_id)""")
+oracle("lasso_optimality", "select count(distinct covariate) n_flags, true selects, 0 n_violated from frequent")
+oracle("ps_report", """
+select * from (
+  select kind, covariate, sum(case when grp = 'vaccinated' then 1 else 0 end) n_vaccinated,
+         sum(case when grp = 'unvaccinated' then 1 else 0 end) n_unvaccinated
+  from (select distinct 'discrete' kind, covariate, person_id from frequent
+        union all select distinct 'factor', covariate, person_id from factors) join members using (person_id)
+  group by all)
+where n_vaccinated = 0 or n_unvaccinated = 0""")
+oracle("ps_score_report", """
+select grp "group", count(*) n, sum(case when person_id % 10 = 0 then 1 else 0 end) n_at_zero,
+       sum(case when person_id % 10 = 1 then 1 else 0 end) n_at_one, sum(case when person_id % 10 = 2 then 1 else 0 end) n_unknown
+from members group by grp""")
 oracle("drop_zero_weight", """
 select person_id, grp "group", round(weight, 6) weight
 from (select person_id, grp, case when grp = 'vaccinated' then 1 - p else p end weight

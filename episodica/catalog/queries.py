@@ -625,6 +625,36 @@ def lasso_at_penalty(s: Study) -> DataFrame:
     return ps.lasso_selected(s.flag_vectors, s.flag_names, 0.01, s.config.lasso_tol)
 
 
+CERTIFIED_PENALTY = 0.01
+
+
+@query
+def lasso_optimality(s: Study) -> DataFrame:
+    """Flags, and how many of them (and of the intercept) break the optimality condition of the fitted penalty."""
+    coefficients, intercept = ps.lasso_model(s.flag_vectors, s.flag_names, CERTIFIED_PENALTY, 1e-9)
+    rows = ps.lasso_optimality(s.staged_flags, s.members, coefficients, intercept, CERTIFIED_PENALTY)
+    return rows.agg(
+        F.count("covariate").alias("n_flags"),
+        (F.count(F.when(F.col("covariate").isNotNull() & (F.col("coefficient") != 0), 1)) > 0).alias("selects"),
+        F.sum(F.col("violated").cast("long")).alias("n_violated"),
+    )
+
+
+@query
+def ps_report(s: Study) -> DataFrame:
+    """Flags and levels of one arm alone."""
+    held = s.staged_flags.withColumn("kind", F.lit("discrete")).unionByName(s.factors.withColumn("kind", F.lit("factor")), allowMissingColumns=True)
+    return ps.separation(held, s.members)
+
+
+@query
+def ps_score_report(s: Study) -> DataFrame:
+    """Scores at their edges; a tenth of the persons each has a score of 0, 1 and none."""
+    place = F.col("person_id") % 10
+    score = F.when(place == 0, 0.0).when(place == 1, 1.0).when(place == 2, F.lit(None).cast("double")).otherwise(stand_in_score())
+    return ps.score_report(s.members.withColumn("ps", score))
+
+
 @query
 def ps_sample(s: Study) -> DataFrame:
     return ps.sample_persons(s.individuals, SAMPLE_SIZE, s.config.seed)

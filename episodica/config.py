@@ -51,6 +51,7 @@ class StudyConfig:
     folds: int = 5
     lambda_exponents: tuple[float, float, float] = (2.0, -3.0, -0.1)
     lasso_tol: float = 1e-4
+    ridge: float = 0.0
     seed: int = 20221128
     # care-site locations folded into another one, with the label of the result
     location_merge: dict[int, int] = field(default_factory=lambda: {10: 8})

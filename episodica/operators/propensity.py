@@ -141,25 +141,95 @@ def one_se_lambda(path: DataFrame) -> float:
     return max(r["lambda"] for r in rows if r.mean_loss <= best.mean_loss + best.se_loss)
 
 
+def lasso_model(
+    vectors: DataFrame, names: list[str], penalty: float, tol: float = 1e-6
+) -> tuple[DataFrame, float]:
+    """Non-zero coefficients of the flags at a penalty, and the intercept."""
+    lr = LogisticRegression(
+        elasticNetParam=1.0, regParam=penalty, standardization=True, maxIter=100, tol=tol
+    )
+    model = lr.fit(vectors)
+    chosen = [(n, float(c)) for n, c in zip(names, model.coefficients.toArray()) if c != 0]
+    table = vectors.sparkSession.createDataFrame(chosen, "covariate string, coefficient double")
+    return table, float(model.intercept)
+
+
 def lasso_selected(
     vectors: DataFrame, names: list[str], penalty: float, tol: float = 1e-6
 ) -> DataFrame:
     """Flags with a non-zero coefficient at a penalty, with the coefficient."""
-    lr = LogisticRegression(
-        elasticNetParam=1.0, regParam=penalty, standardization=True, maxIter=100, tol=tol
+    return lasso_model(vectors, names, penalty, tol)[0]
+
+
+def lasso_optimality(
+    flags: DataFrame, persons: DataFrame, coefficients: DataFrame, intercept: float, penalty: float, slack: float = 0.01
+) -> DataFrame:
+    """Whether a solution of the penalised likelihood is one: the optimality condition of each flag, from the long table.
+
+    The loss' slope along a flag, measured in its own spread as the penalty is, lies between -penalty and penalty; it
+    is -penalty or penalty, against the sign of the coefficient, where that is not zero. ``slack`` is the share of the
+    penalty by which a solver of finite tolerance may miss it. One row per flag: covariate, coefficient, slope, violated; the
+    row without a flag is the intercept's, whose slope is 0.
+
+    Persons hold many flags and flags many persons: fitted probabilities are a sum per person over the chosen flags (their
+    number is bounded by the model), slopes a sum per flag with partial sums in the tasks.
+    """
+    chosen = F.broadcast(coefficients)  # as many rows as the fitted model has coefficients
+    margins = flags.join(chosen, "covariate").groupBy("person_id").agg(F.sum(F.col("value") * F.col("coefficient")).alias("m"))
+    y = (F.col("group") == VACCINATED).cast("double")
+    score = 1 / (1 + F.exp(-(F.coalesce("m", F.lit(0.0)) + F.lit(intercept))))
+    residuals = persons.select("person_id", "group").join(margins, "person_id", "left").select("person_id", (score - y).alias("r"))
+    whole = residuals.agg(F.count("*").alias("n"), F.sum("r").alias("sum_r"))
+    n = whole.select("n").scalar()
+    x = F.col("value")
+    sums = flags.select("person_id", "covariate", "value").join(residuals, "person_id").groupBy("covariate").agg(
+        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * F.col("r")).alias("sxr")
+    )
+    spread = F.sqrt(F.greatest(F.col("sxx") - F.col("sx") * F.col("sx") / n, F.lit(0.0)) / (n - 1))
+    slopes = sums.withColumn("slope", F.try_divide(F.col("sxr") / n, F.when(spread > 0, spread))).join(chosen, "covariate", "left")
+    b, slope = F.coalesce("coefficient", F.lit(0.0)), F.coalesce("slope", F.lit(0.0))
+    off = F.when(b == 0, F.greatest(F.abs(slope) - penalty, F.lit(0.0))).otherwise(F.abs(slope + F.signum(b) * penalty))
+    rows = slopes.select("covariate", b.alias("coefficient"), slope.alias("slope"), (off > slack * penalty).alias("violated"))
+    free = whole.select(
+        F.lit(None).cast("string").alias("covariate"), F.lit(intercept).alias("coefficient"), (F.col("sum_r") / F.col("n")).alias("slope"),
+        (F.abs(F.col("sum_r") / F.col("n")) > slack * penalty).alias("violated"),
+    )
+    return rows.unionByName(free)
+
+
+def separation(covariates: DataFrame, persons: DataFrame) -> DataFrame:
+    """Flags and levels that one arm alone holds: (kind, covariate, n_vaccinated, n_unvaccinated).
+
+    Each of them sends an unpenalised coefficient to infinity, so a model with them has no finite solution.
+    """
+    held = covariates.where("kind in ('discrete', 'factor') and value <> 0").select("kind", "covariate", "person_id").distinct()
+    rows = held.join(persons.select("person_id", "group"), "person_id")
+    vaccinated = (F.col("group") == VACCINATED).cast("long")
+    counts = rows.groupBy("kind", "covariate").agg(F.sum(vaccinated).alias("n_vaccinated"), F.sum(1 - vaccinated).alias("n_unvaccinated"))
+    return counts.where("n_vaccinated = 0 or n_unvaccinated = 0")
+
+
+def score_report(scores: DataFrame, edge: float = 1e-8) -> DataFrame:
+    """Per arm: persons, scores at (within ``edge`` of) 0 and 1, and scores that are missing or no number."""
+    ps = F.col("ps")
+    known = ps.isNotNull() & ~F.isnan(ps)
+    return scores.groupBy("group").agg(
+        F.count("*").alias("n"),
+        F.count(F.when(known & (ps <= edge), 1)).alias("n_at_zero"),
+        F.count(F.when(known & (ps >= 1 - edge), 1)).alias("n_at_one"),
+        F.count(F.when(~known, 1)).alias("n_unknown"),
     )
-    coefficients = lr.fit(vectors).coefficients.toArray()
-    chosen = [(n, float(c)) for n, c in zip(names, coefficients) if c != 0]
-    return vectors.sparkSession.createDataFrame(chosen, "covariate string, coefficient double")
 
 
 def propensity_scores(
-    vectors: DataFrame, config: StudyConfig = StudyConfig(), ridge: float = 0.0
+    vectors: DataFrame, config: StudyConfig = StudyConfig(), ridge: float | None = None
 ) -> DataFrame:
     """person_id, group and the probability of being vaccinated.
 
-    The model is fitted on a sample of persons and applied to all.
+    The model is fitted on a sample of persons and applied to all. ``ridge`` (by default the study's) keeps it finite where
+    :func:`separation` finds covariates of one arm.
     """
+    ridge = config.ridge if ridge is None else ridge
     training = sample_persons(vectors, config.ps_sample_size, config.seed)
     lr = LogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=100, tol=1e-8)
     model = lr.fit(training)

@@ -68,6 +68,8 @@ def score_population(
         matrix.design_vectors(members, usable, chosen, levels), f"{name}/design"
     )
     scores = store.save(propensity.propensity_scores(design, config), f"{name}/scores")
+    store.save(propensity.separation(usable, members), f"separation/population={name}")
+    store.save(propensity.score_report(scores), f"score_report/population={name}")
     return scores, usable
 
 
@@ -160,6 +162,8 @@ def run_study(
         export_results(calibrated.withColumn("analysis", F.lit("calibrated")),
                        f"{report_path}/calibrated")
         export_results(balance_rows, f"{report_path}/balance", ["population"])
+        for name in ("separation", "score_report"):
+            export_results(store.load(name), f"{report_path}/{name}", ["population"])
         export_results(controls, f"{report_path}/negative_controls", ["population", "analysis"])
     return Study(derived, populations, covariates, balance_rows, controls, model, estimates,
                  calibrated, checks)

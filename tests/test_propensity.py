@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.config import StudyConfig
+from episodica.config import UNVACCINATED, VACCINATED, StudyConfig
 from episodica.functions.random import fold
 from episodica.operators import balance as bal
 from episodica.operators import matrix as mx
@@ -167,3 +167,41 @@ def test_folds_without_persons_are_left_out(spark, confounded):
 def test_loss_of_a_training_part_with_one_arm_is_finite():
     assert ps.null_loss(10, 10, 5, 5) == pytest.approx(0, abs=1e-12)
     assert ps.null_loss(10, 0, 5, 1) == pytest.approx(-np.log(1e-15) / 5, rel=1e-9)
+
+
+def test_optimality_certifies_the_fit_and_refuses_another(spark):
+    rng = np.random.default_rng(8)
+    n, k = 400, 12
+    x = (rng.random((n, k)) < rng.uniform(0.1, 0.6, k)).astype(float)
+    y = rng.random(n) < 1 / (1 + np.exp(-(x @ np.r_[1.5, -2.0, np.zeros(k - 2)])))
+    persons = spark.createDataFrame([(i, VACCINATED if y[i] else UNVACCINATED) for i in range(n)], "person_id long, group string")
+    flags = spark.createDataFrame([(i, f"f{j:02d}", 1.0) for i in range(n) for j in range(k) if x[i, j]], "person_id long, covariate string, value double")
+    names = [f"f{j:02d}" for j in range(k)]
+    vectors = mx.flag_vectors(persons, flags, names)
+    coefficients, intercept = ps.lasso_model(vectors, names, 0.03, 1e-10)
+    found = {r.covariate: r for r in ps.lasso_optimality(flags, persons, coefficients, intercept, 0.03).collect()}
+    assert len(found) == k + 1 and not any(r.violated for r in found.values())
+    chosen = {r.covariate: r.coefficient for r in coefficients.collect()}
+    assert {"f00", "f01"} <= set(chosen) and len(chosen) < k
+    b = np.array([chosen.get(c, 0.0) for c in names])
+    slopes = x.T @ (1 / (1 + np.exp(-(x @ b + intercept))) - y) / n / x.std(axis=0, ddof=1)
+    assert [found[c].slope for c in names] == pytest.approx(slopes.tolist())
+    # One coefficient left out, one that is not zero, another intercept: each is no solution.
+    fewer = coefficients.where("covariate <> 'f00'")
+    more = fewer.unionByName(spark.createDataFrame([("f00", -chosen["f00"])], coefficients.schema))
+    for wrong, start in ((fewer, intercept), (more, intercept), (coefficients, intercept + 1)):
+        assert ps.lasso_optimality(flags, persons, wrong, start, 0.03).where("violated").count() > 0
+    assert ps.lasso_optimality(flags, persons, coefficients, intercept + 1, 0.03).where("covariate is null and violated").count() == 1
+
+
+def test_separation_and_scores_at_the_edges(spark):
+    persons = spark.createDataFrame([(i, VACCINATED if i < 5 else UNVACCINATED) for i in range(10)], "person_id long, group string")
+    held = {"both": range(10), "one arm": range(3), "other": range(7, 9), "stranger": [99], "zero": []}
+    rows = [(i, "discrete", c, 1.0) for c, ids in held.items() for i in ids] + [(1, "factor", "level", 1.0), (1, "factor", "level", 1.0),
+            (2, "continuous", "age", 1.0), (3, "discrete", "zero", 0.0)]
+    table = spark.createDataFrame(rows, "person_id long, kind string, covariate string, value double")
+    found = {(r.kind, r.covariate): (r.n_vaccinated, r.n_unvaccinated) for r in ps.separation(table, persons).collect()}
+    assert found == {("discrete", "one arm"): (3, 0), ("discrete", "other"): (0, 2), ("factor", "level"): (1, 0)}
+    scores = spark.createDataFrame([("a", 0.0), ("a", 1e-12), ("a", 0.5), ("b", 1.0), ("b", None), ("b", float("nan"))], "group string, ps double")
+    assert {tuple(r) for r in ps.score_report(scores).collect()} == {("a", 3, 2, 0, 0), ("b", 3, 0, 1, 2)}
+    assert ps.score_report(scores.where("false")).count() == 0
