@@ -234,11 +234,14 @@ def gram_keys(word: str, order: dict[str, tuple[int, int]]) -> tuple[int, list[i
 
 
 def odd_letters(word: str) -> int:
-    """A bit for each class of letters that occurs an odd number of times. An edit turns two bits at most."""
+    """A bit for each of 31 classes of letters that occurs an odd number of times. An edit turns two bits at most.
+
+    The sign of a 32-bit number stays free: Spark counts it many times.
+    """
     bits = 0
     for c in word:
-        bits ^= 1 << ord(c) % 32
-    return bits - (bits >> 31 << 32)
+        bits ^= 1 << ord(c) % 31
+    return bits
 
 
 def gram_order(words: DataFrame) -> dict[str, tuple[int, int]]:

@@ -51,9 +51,12 @@ def found_in(df):
     return {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect()}
 
 
+LETTERS = "abcéÉßÿØ"
+
+
 def misspelt(word):
     k = rng.randrange(len(word))
-    return rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice("abcé") + word[k:], word[:k] + rng.choice("abcéÉ") + word[k + 1 :]])
+    return rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice(LETTERS) + word[k:], word[:k] + rng.choice(LETTERS) + word[k + 1 :]])
 
 
 BASE = ["".join(rng.choice("abceéstÀ") for _ in range(rng.randint(4, 9))) for _ in range(120)]
@@ -95,6 +98,15 @@ def test_near_pairs_of_all_words_over_two_letters(spark):
     assert got == sorted((a, b) for a, b in itertools.combinations(sorted(words), 2) if distance_one(a, b))
 
 
+def test_near_pairs_of_one_letter_each(spark):
+    """Every letter there is in the place of one of ``word``'s."""
+    letters = [chr(c) for c in (*range(97, 123), *range(0xC0, 0x100))]
+    words = sorted(f"wo{c}rd" for c in letters)
+    table = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    got = sorted(tuple(sorted((r.a, r.b))) for r in spelling.near_pairs(table).collect())
+    assert got == list(itertools.combinations(words, 2))
+
+
 def test_pivots_are_the_cheapest_disjoint_pair():
     for _ in range(300):
         places = sorted(rng.sample(range(12), rng.randint(3, 7)))
