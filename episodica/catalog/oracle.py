@@ -756,7 +756,7 @@ from fitted f join spread s on {_same(GRID + ', analysis', 'f', 's')}""")
 oracle("effect_report", f"""
 select {', '.join(f'k.{x.strip()}' for x in GRID.split(','))}, k.analysis, k.cohortId "cohortId", k.cohortName "cohortName",
        round(hr, 6) "HR", round(hr_inverse, 6) "HRinvers", round(low95, 6) "low95", round(upper95, 6) "upper95",
-       round(se, 6) "SE", case when enough then nv end "vacPACS", case when enough then nu end "unvacPACS"
+       round(se, 6) "SE", case when enough then nv end "n_vaccinated", case when enough then nu end "n_unvaccinated"
 from (
   select *, case when outcome <> 'ATE' then cast(15 + 40 * code + 4 * place + risk_window - 1 as int) end cohortId,
          concat_ws(' ', outcome, days, label) cohortName

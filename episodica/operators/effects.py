@@ -12,7 +12,7 @@ from episodica.operators.timetoevent import CELL, DOSE_CENSORED, analysis_cells,
 # Columns of a published effect table, and the composite whose rows bear another outcome's names.
 REPORT_COLUMNS = {
     "hr": "HR", "hr_inverse": "HRinvers", "low95": "low95", "upper95": "upper95", "se": "SE",
-    "n_vaccinated": "vacPACS", "n_unvaccinated": "unvacPACS",
+    "n_vaccinated": "n_vaccinated", "n_unvaccinated": "n_unvaccinated",
 }
 NAMED_AFTER = {"ATE": "VTE"}
 

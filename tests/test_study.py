@@ -35,10 +35,10 @@ def test_every_analysis_has_its_row(spark, ran):
     # A cohort that the list lacks keeps its rows, without a name.
     assert grid.where("cohortName is null").select("outcome", "risk_window", "censoring").distinct().count() == 1
     assert grid.where("cohortName is null").count() == 3 * 2 * 2
-    filled = grid.where("vacPACS is not null")
+    filled = grid.where("n_vaccinated is not null")
     assert 0 < filled.count() < grid.count()
-    assert filled.where("vacPACS + unvacPACS < 5").count() == 0
-    assert grid.where("vacPACS is null and HR is not null").count() == 0
+    assert filled.where("n_vaccinated + n_unvaccinated < 5").count() == 0
+    assert grid.where("n_vaccinated is null and HR is not null").count() == 0
     written = spark.read.option("header", True).csv(f"{reports}/estimates")
     assert written.count() == grid.count() and {"cohortId", "cohortName", "HR", "HRinvers", "SE"} <= set(written.columns)
 
