@@ -12,8 +12,8 @@ import pyarrow as pa
 
 from episodica.llm.base import byte_slices, runs, strings, worker_cache
 
-WORDS_KEPT, PIECES_KEPT = 100_000, 300_000
-SLICE_BYTES = 1 << 21
+WORDS_KEPT, PIECES_KEPT = 50_000, 150_000
+SLICE_BYTES = 1 << 20
 #: The parts of a tokenizer file under which every word between spaces is encoded by itself.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.base import stage, worker_cache
+from episodica.llm.base import give_back_memory, stage, worker_cache
 from episodica.llm.encoding import Encoder, little
 
 PIECES = "doc_id long, part int, start long, length long, doc_tokens long, ids binary"
@@ -50,6 +50,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 4096, parts
                         rows.append((names[k], parts[k], start, length, n, whole[4 * start : 4 * (start + length)]))
                         start += length
                 yield _batch(rows)
+        give_back_memory()
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")
     return docs.select("doc_id", part, "text").mapInArrow(pieces, PIECES)
