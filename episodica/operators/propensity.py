@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -13,10 +14,24 @@ from pyspark.sql import functions as F
 
 from episodica.config import VACCINATED, StudyConfig
 from episodica.functions.random import fold, uniform
+from episodica.sources.stages import shared_dir
 
 PATH_SCHEMA = "lambda double, mean_loss double, se_loss double, fitted boolean"
 
 
+class BareLogisticRegression(LogisticRegression):
+    """Logistic regression whose models hold what prediction needs and no training summary.
+
+    The summary refers to the session, and once metrics were observed in that (``Observation``) it cannot travel with the
+    tasks that apply the model. A model that is written and read again comes without it.
+    """
+
+    def _fit(self, dataset: DataFrame) -> LogisticRegressionModel:
+        path = f"{shared_dir(dataset.sparkSession)}/models/{uuid.uuid4().hex}"
+        super()._fit(dataset).write().save(path)
+        return LogisticRegressionModel.load(path)
+
+
 def sample_persons(persons: DataFrame, size: int, seed: int, bins: int = 1 << 16) -> DataFrame:
     """Exactly ``min(size, n)`` persons, the same ones on any partitioning.
 
@@ -113,7 +128,7 @@ def lasso_path(
     fitted = [x for x in lambdas if x < entry]
     rows = [(x, mean, se, False) for x in lambdas if x >= entry]
     if fitted:
-        lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=100, tol=config.lasso_tol)
+        lr = BareLogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=100, tol=config.lasso_tol)
         grid = ParamGridBuilder().addGrid(lr.regParam, fitted).build()
         present = F.array(*[F.lit(r.out) for r in held_out])
         own = fold("person_id", config.folds, config.seed)
@@ -231,7 +246,7 @@ def propensity_scores(
     """
     ridge = config.ridge if ridge is None else ridge
     training = sample_persons(vectors, config.ps_sample_size, config.seed)
-    lr = LogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=100, tol=1e-8)
+    lr = BareLogisticRegression(regParam=ridge, elasticNetParam=0.0, maxIter=100, tol=1e-8)
     model = lr.fit(training)
     scored = model.transform(vectors)
     return scored.select(

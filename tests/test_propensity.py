@@ -164,6 +164,23 @@ def test_folds_without_persons_are_left_out(spark, confounded):
         ps.lasso_path(vectors, flags, left.where(fold("person_id", CONFIG.folds, CONFIG.seed) == 1), few)
 
 
+def test_models_apply_in_a_session_that_observed_metrics(spark, confounded):
+    """The session of a model's training summary cannot be sent to tasks any more, once it manages observations."""
+    from pyspark.sql import Observation
+
+    x, arm, members, flags = confounded
+    observed = Observation("rows")
+    members.observe(observed, F.count("*").alias("n")).collect()
+    assert observed.get["n"] == len(arm)
+    names = mx.covariate_names(flags)
+    vectors = mx.flag_vectors(members, flags, names).cache()
+    few = StudyConfig(lambda_exponents=(0.0, -1.0, -0.5), folds=2, lasso_tol=1e-8)
+    path = ps.lasso_path(vectors, flags, members, few).collect()
+    assert len(path) == len(few.lambdas()) and any(r.fitted for r in path)
+    scores = ps.propensity_scores(vectors.join(members.select("person_id", "group"), "person_id"), few)
+    assert scores.where("ps > 0 and ps < 1").count() == len(arm)
+
+
 def test_loss_of_a_training_part_with_one_arm_is_finite():
     assert ps.null_loss(10, 10, 5, 5) == pytest.approx(0, abs=1e-12)
     assert ps.null_loss(10, 0, 5, 1) == pytest.approx(-np.log(1e-15) / 5, rel=1e-9)
