@@ -10,8 +10,11 @@ each component only the first line (by doc_id, place, then text) stays.
    hashes anew). Each distinct line is signed once. A pair of similarity 0.8 shares none of the 8 bands of 3 rows with
    probability 0.003.
 3. Pairs that share a band (see ``linking``) and at least ``LEAST_EQUAL`` of all minima are verified on the full sets of the hashes
-   of all shingles. A pair of similarity 0.8 has fewer equal minima with probability 7e-6; most others end here, before any
-   set is built, and pairs of a bucket's members are told apart inside the join that makes them.
+   of all shingles. A pair of similarity 0.8 has fewer equal minima with probability 7e-6. Before any set of a pair is built,
+   parities tell most others apart: each line that shares a band has a map of ``64 * WORDS`` bits, a bit being the parity of the
+   shingles that fall on it. Bits that differ between two lines are no more than the shingles that only one of them has, so
+   a pair with too many of them is no link; this loses none. Pairs of a bucket's members are told apart inside the join
+   that makes them.
 4. Components come from union-find over tables.
 
 Null texts have no lines. Equal doc_ids with equal texts are one document. Rows without doc_id come
@@ -22,16 +25,16 @@ from __future__ import annotations
 
 import random
 from functools import reduce
-from operator import add
+from operator import add, and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.llm.base import hashed_parts, stage
 from episodica.llm.components import union_find
-from episodica.llm.linking import linked, shared_members
+from episodica.llm.linking import linked
 
-SHINGLE, MIN_CHARS, PERCENT, BANDS, ROWS, LEAST_EQUAL = 8, 16, 80, 8, 3, 10
+SHINGLE, MIN_CHARS, PERCENT, BANDS, ROWS, LEAST_EQUAL, WORDS = 8, 16, 80, 8, 3, 10, 16
 
 
 def text_key() -> Column:
@@ -65,8 +68,27 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
 
 def bands_of(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(bucket, id): a line's buckets, one a band."""
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
-    return signed.select(F.explode(F.array(*keys)).alias("bucket"), "id")
+    return signed.select(F.explode(F.array(*[_bucket(b, rows) for b in range(bands)])).alias("bucket"), "id")
+
+
+def _bucket(band: int, rows: int) -> Column:
+    return F.xxhash64(F.lit(band), *[f"m{band * rows + r}" for r in range(rows)])
+
+
+def first_shared(bands: int, rows: int) -> Column:
+    """The bucket of the first band in which the signatures m0, m1, ... and k0, k1, ... agree."""
+    agree = [reduce(and_, [F.col(f"m{k}") == F.col(f"k{k}") for k in range(b * rows, b * rows + rows)]) for b in range(bands)]
+    return F.coalesce(*[F.when(same, _bucket(b, rows)) for b, same in enumerate(agree)])
+
+
+def shared_lines(members: DataFrame) -> DataFrame:
+    """Members (bucket, id) of the buckets that hold more than one id, with the smallest id of each.
+
+    Each line is in a bucket once, so rows of three numbers are dealt once; a bucket that is large is sorted on disk.
+    """
+    within = Window.partitionBy("bucket")
+    ends = members.select("*", F.min("id").over(within).alias("leader"), F.max("id").over(within).alias("_last"))
+    return ends.where("leader < _last").drop("_last")
 
 
 def alike(n: int, least: int) -> Column:
@@ -85,6 +107,21 @@ def with_shingles(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     return wide.withColumn("s", hashes).drop("_u")
 
 
+def parities(lines: DataFrame, words: int = WORDS, size: int = SHINGLE) -> DataFrame:
+    """(id, n, w0, w1, ...): the size of a line's set, and a map of bits whose parities its shingles turn over."""
+    sets = with_shingles(lines, size).select("id", F.array_distinct("s").alias("s"))
+    cells = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    bits = cells.select("id", "n", F.pmod(F.shiftright("h", 6), F.lit(words)).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    turned = [F.bit_xor(F.when(F.col("at") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(words)]
+    return bits.groupBy("id").agg(F.max("n").alias("n"), *turned)
+
+
+def near_enough(words: int, percent: int) -> Column:
+    """Whether the sets of n, w0, ... and l, v0, ... can be similar enough: no more shingles than these bits tell are apart."""
+    apart = reduce(add, [F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(words)])
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("l"))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs whose full sets are similar enough. Lines travel as text, a tenth of their sets."""
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
@@ -115,22 +152,28 @@ def removed_lines(
     distinct = lines.where(F.length("line") >= min_chars).select("line").distinct()
     distinct = stage(distinct.select(F.xxhash64("line").alias("id"), "line"))
     signed = stage(signatures(distinct, bands, rows, size))
-    shared = stage(shared_members(bands_of(signed, bands, rows)))
+    shared = stage(shared_lines(bands_of(signed, bands, rows)))
     mine = shared.select("id").distinct()
     texts = stage(distinct.join(mine, "id", "left_semi"))
     n = bands * rows
-    first = stage(signed.join(mine, "id", "left_semi"))
-    second = first.select(F.col("id").alias("b"), *[F.col(f"m{k}").alias(f"k{k}") for k in range(n)])
+    first = stage(signed.join(parities(texts, WORDS, size), "id"))
+    other = {"id": "b", "n": "l"} | {f"m{k}": f"k{k}" for k in range(n)} | {f"w{k}": f"v{k}" for k in range(WORDS)}
+    second = first.withColumnsRenamed(other)
+    near_by = alike(n, least_equal) & near_enough(WORDS, percent)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(first.withColumnRenamed("id", "a"), "a").join(second, "b").where(alike(n, least_equal))
+        near = pairs.join(first.withColumnRenamed("id", "a"), "a").join(second, "b").where(near_by)
         return _similar(near.select("a", "b"), texts, percent, size)
 
     def meet(rest: DataFrame) -> DataFrame:
-        """Members of a bucket in different components whose signatures are alike, told apart within the join."""
+        """Members of a bucket in different components that may be links, told apart within the join.
+
+        A pair is taken from the first bucket it shares; that one is among the rest, as any that holds two components is.
+        """
         one = rest.join(first, "id").withColumnRenamed("id", "a")
-        other = rest.withColumnsRenamed({"id": "b", "c": "d"}).join(second, "b")
-        return one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & alike(n, least_equal)).select("a", "b")
+        two = rest.withColumnsRenamed({"id": "b", "c": "d"}).join(second, "b")
+        once = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near_by & (F.col("bucket") == first_shared(bands, rows))
+        return one.join(two, one["bucket"] == two["bucket"]).drop(two["bucket"]).where(once).select("a", "b")
 
     components = linked(shared, similar, union_find, percent, meet=meet)
     seen = named.join(components, "id", "left")

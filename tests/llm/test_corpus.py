@@ -271,6 +271,53 @@ def test_short_lines_are_equal_or_left(spark):
     }
 
 
+def test_parities_tell_pairs_apart_and_lose_no_link(spark):
+    """Copies of a line, each with edits of its own, just above and just below the threshold."""
+    draw, base = random.Random(6), "".join(random.Random(5).choice("abcdefghijklmnop ") for _ in range(300))
+    lines = [base]
+    for k in range(80):
+        text = list(base)
+        for at in draw.sample(range(4, 296), 1 + k % 7):
+            text[at] = draw.choice("QRSTUVWXYZ").lower() + str(k)
+        lines.append("".join(text))
+    table = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    maps = {r.id: r for r in line_dedup.parities(table).collect()}
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in lines]
+    assert [maps[k].n for k in range(len(sets))] == [len(s) for s in sets]
+    first = line_dedup.parities(table)
+    second = first.withColumnsRenamed({"id": "b", "n": "l"} | {f"w{k}": f"v{k}" for k in range(line_dedup.WORDS)})
+    left = first.join(second, F.col("id") < F.col("b")).where(line_dedup.near_enough(line_dedup.WORDS, 80))
+    got = {(r.id, r.b) for r in left.select("id", "b").collect()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)}
+    assert {p for p, s in share.items() if s >= 0.8} <= got
+    assert not {p for p, s in share.items() if s < 0.7} & got
+
+
+def test_members_meet_once_and_only_where_they_may_be_links(spark, monkeypatch):
+    """A large group of edited copies of one line: few of its pairs leave the join, each of them once."""
+    draw, base = random.Random(3), " ".join(random.Random(2).choices(WORDS, k=30))
+    lines = []
+    for k in range(150):
+        text = list(base)
+        for at in draw.sample(range(len(text)), 4):
+            text[at] = chr(0x4E00 + 4 * k + len(lines) % 3)
+        lines.append("".join(text))
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in lines]
+    close = sum(len(x & y) >= 0.7 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    met, exact = [], line_dedup._similar
+
+    def seen(pairs, *args):
+        met.append([tuple(r) for r in pairs.select("a", "b").collect()])
+        return exact(pairs, *args)
+
+    monkeypatch.setattr(line_dedup, "_similar", seen)
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    line_dedup.report(table).count()
+    pairs = [p for step in met for p in step]
+    assert all(len(set(step)) == len(step) for step in met)
+    assert len(pairs) <= close + 20 < len(lines) * (len(lines) - 1) / 8
+
+
 def test_clean_is_linear_in_the_lines_of_a_text(spark):
     """Of 60,000 lines in one text, each written twice, half go."""
     text = "\n".join(f"line {k % 30_000}" for k in range(60_000))
