@@ -7,7 +7,8 @@ import gc
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,28 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a ``stage`` that writes in buckets of a key: joins and groups by the key need no shuffle of such a table.
+
+    The names in the catalog go at the end, so nothing read later may rest on these tables; the files stay, as those of a
+    stage do.
+    """
+    names = []
+
+    def put(df: DataFrame, key: str) -> DataFrame:
+        names.append(f"stage_{uuid.uuid4().hex}")
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_root(spark)}/{names[-1]}")
+        writer.bucketBy(hashed_parts(spark), key).saveAsTable(names[-1])
+        return spark.table(names[-1])
+
+    try:
+        yield put
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def hashed_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,8 @@ A text's lines end at line feeds. Lines are compared trimmed and in lower case.
 shorter than ``MIN_CHARS`` have too few shingles for that and are linked with equal lines only; empty lines are left alone. Of
 each component only the first line (by doc_id, place, then text) stays.
 
-1. Equal lines are one node, named by a 64-bit hash, so copies meet nowhere but in a count.
+1. Equal lines are one node, named by a 64-bit hash, so copies meet nowhere but in a count. The texts of the nodes are
+   shuffled once, into buckets of that name; signatures, parities and the choice of lines that share a band follow there.
 2. Signatures: ``BANDS`` x ``ROWS`` minima of the hashes of all of a line's shingles, each under its own xor mask (which orders the
    hashes anew). Each distinct line is signed once. A pair of similarity 0.8 shares none of the 8 bands of 3 rows with
    probability 0.003.
@@ -24,17 +25,20 @@ first in the order. Columns other than doc_id and text are carried by ``clean``
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.base import hashed_parts, stage
+from episodica.llm.base import bucketed, hashed_parts, stage
 from episodica.llm.components import union_find
 from episodica.llm.linking import linked
 
 SHINGLE, MIN_CHARS, PERCENT, BANDS, ROWS, LEAST_EQUAL, WORDS = 8, 16, 80, 8, 3, 10, 16
+#: Shingles of a line that are signed together, which spares three of four updates of the minima.
+STEP = 4
 
 
 def text_key() -> Column:
@@ -53,17 +57,24 @@ def compared(lines: DataFrame) -> DataFrame:
     return lines.where("line != ''").withColumn("id", F.xxhash64("line"))
 
 
+def shingles(lines: DataFrame, size: int = SHINGLE, step: int = 1) -> DataFrame:
+    """(id, h0, h1, ...) from (id, line): the hashes of ``step`` shingles of a line a row; its last one fills the last row.
+
+    Two bytes hold a character, so a shingle is cut in constant time.
+    """
+    wide = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
+    last = F.greatest(F.lit(1), F.octet_length("u") - 2 * size + 1)
+    cells = wide.select("id", "u", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * step))).alias("at"))
+    starts = [F.col("at")] + [F.least(F.col("at") + 2 * j, F.col("last")) for j in range(1, step)]
+    return cells.select("id", *[F.xxhash64(F.substr("u", at, F.lit(2 * size))).alias(f"h{j}") for j, at in enumerate(starts)])
+
+
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(id, m0, m1, ...) from (id, line), the upper halves of the minima. Two bytes hold a character, so a shingle is cut in
-    constant time."""
+    """(id, m0, m1, ...) from (id, line), the upper halves of the minima."""
     draw = random.Random(1)
     masks = [draw.getrandbits(64) - (1 << 63) for _ in range(bands * rows)]
-    wide = lines.select("id", F.encode("line", "UTF-16BE").alias("u"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("u") - 2 * size + 1), F.lit(2))
-    cells = wide.select("id", "u", F.explode(starts).alias("at"))
-    hashes = cells.select("id", F.xxhash64(F.substr("u", F.col("at"), F.lit(2 * size))).alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))) for m in masks]
-    return hashes.groupBy("id").agg(*[F.shiftright(m, 32).cast("int").alias(f"m{k}") for k, m in enumerate(least)])
+    least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STEP)])) for m in masks]
+    return shingles(lines, size, STEP).groupBy("id").agg(*[F.shiftright(m, 32).cast("int").alias(f"m{k}") for k, m in enumerate(least)])
 
 
 def bands_of(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -109,11 +120,11 @@ def with_shingles(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def parities(lines: DataFrame, words: int = WORDS, size: int = SHINGLE) -> DataFrame:
     """(id, n, w0, w1, ...): the size of a line's set, and a map of bits whose parities its shingles turn over."""
-    sets = with_shingles(lines, size).select("id", F.array_distinct("s").alias("s"))
-    cells = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    bits = cells.select("id", "n", F.pmod(F.shiftright("h", 6), F.lit(words)).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    cells = shingles(lines, size).distinct()
+    at, bit = F.pmod(F.shiftright("h0", 6), F.lit(words)), F.expr("shiftleft(1L, cast(h0 & 63 as int))")
+    bits = cells.select("id", at.alias("at"), bit.alias("bit"))
     turned = [F.bit_xor(F.when(F.col("at") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(words)]
-    return bits.groupBy("id").agg(F.max("n").alias("n"), *turned)
+    return bits.groupBy("id").agg(F.count("*").cast("int").alias("n"), *turned)
 
 
 def near_enough(words: int, percent: int) -> Column:
@@ -136,27 +147,18 @@ def _similar(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
     return both.where((100 + percent) * shared >= percent * sizes).select("a", "b")
 
 
-def removed_lines(
-    docs: DataFrame,
-    percent: int = PERCENT,
-    min_chars: int = MIN_CHARS,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    size: int = SHINGLE,
-    least_equal: int = LEAST_EQUAL,
+def _components(
+    lines: DataFrame, put: Callable[[DataFrame, str], DataFrame], percent: int, bands: int, rows: int, size: int, least_equal: int
 ) -> DataFrame:
-    """(doc_id, key, places): the lines of each document that are near copies of an earlier one."""
-    lines = compared(lines_of(docs))
-    named = stage(lines.select("doc_id", "key", "place", "id"))
-    # Equal lines meet within tasks first; the id follows from the line.
-    distinct = lines.where(F.length("line") >= min_chars).select("line").distinct()
-    distinct = stage(distinct.select(F.xxhash64("line").alias("id"), "line"))
-    signed = stage(signatures(distinct, bands, rows, size))
+    """(id, component) of the lines that are linked with others."""
+    # Equal lines meet within tasks first. The lines' texts are dealt once, by id; what follows finds them in its buckets.
+    distinct = put(lines.groupBy("id").agg(F.first("line").alias("line")), "id")
+    signed = put(signatures(distinct, bands, rows, size), "id")
     shared = stage(shared_lines(bands_of(signed, bands, rows)))
-    mine = shared.select("id").distinct()
-    texts = stage(distinct.join(mine, "id", "left_semi"))
+    mine = shared.select("id").distinct().hint("shuffle_hash")  # the smaller side, so no line is sorted
+    texts = put(distinct.join(mine, "id", "left_semi"), "id")
     n = bands * rows
-    first = stage(signed.join(parities(texts, WORDS, size), "id"))
+    first = put(signed.join(parities(texts, WORDS, size).hint("shuffle_hash"), "id"), "id")
     other = {"id": "b", "n": "l"} | {f"m{k}": f"k{k}" for k in range(n)} | {f"w{k}": f"v{k}" for k in range(WORDS)}
     second = first.withColumnsRenamed(other)
     near_by = alike(n, least_equal) & near_enough(WORDS, percent)
@@ -175,7 +177,23 @@ def removed_lines(
         once = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near_by & (F.col("bucket") == first_shared(bands, rows))
         return one.join(two, one["bucket"] == two["bucket"]).drop(two["bucket"]).where(once).select("a", "b")
 
-    components = linked(shared, similar, union_find, percent, meet=meet)
+    return linked(shared, similar, union_find, percent, meet=meet)
+
+
+def removed_lines(
+    docs: DataFrame,
+    percent: int = PERCENT,
+    min_chars: int = MIN_CHARS,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    size: int = SHINGLE,
+    least_equal: int = LEAST_EQUAL,
+) -> DataFrame:
+    """(doc_id, key, places): the lines of each document that are near copies of an earlier one."""
+    lines = compared(lines_of(docs))
+    named = stage(lines.select("doc_id", "key", "place", "id"))
+    with bucketed(docs.sparkSession) as put:
+        components = _components(lines.where(F.length("line") >= min_chars), put, percent, bands, rows, size, least_equal)
     seen = named.join(components, "id", "left")
     seen = seen.select("doc_id", "key", "place", F.coalesce("component", "id").alias("component"))
     order = F.struct("doc_id", "place", "key")

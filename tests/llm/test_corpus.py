@@ -25,6 +25,7 @@ from episodica.llm import (
     substring_dedup,
     token_planes,
 )
+from episodica.llm.base import bucketed
 from episodica.llm.encoding import Encoder
 from episodica.llm.queries import QUERIES, word_bpe
 
@@ -293,6 +294,20 @@ def test_parities_tell_pairs_apart_and_lose_no_link(spark):
     assert not {p for p, s in share.items() if s < 0.7} & got
 
 
+def test_lines_in_buckets_are_dealt_once(spark):
+    """What needs the lines by id takes them from their buckets, without a shuffle, and leaves no name behind."""
+    lines = spark.createDataFrame([(k, f"line {k} of some few that are not very long") for k in range(50)], "id long, line string")
+    with bucketed(spark) as put:
+        table = put(lines, "id")
+        names = {x.name for x in spark.catalog.listTables()}
+        some = table.where("id < 20").select("id").repartition(4, "id").hint("shuffle_hash")
+        for step in (line_dedup.signatures(table), line_dedup.parities(table), table.join(some, "id", "left_semi")):
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM")
+            assert step.count() in (20, 50)
+    assert len(names - {x.name for x in spark.catalog.listTables()}) == 1
+
+
 def test_members_meet_once_and_only_where_they_may_be_links(spark, monkeypatch):
     """A large group of edited copies of one line: few of its pairs leave the join, each of them once."""
     draw, base = random.Random(3), " ".join(random.Random(2).choices(WORDS, k=30))
