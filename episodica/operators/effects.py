@@ -92,14 +92,16 @@ def _equal(a: str, b: str, names: list[str]) -> Column:
 def checked(rows: DataFrame, name: str = "study rows") -> tuple[DataFrame, Observation]:
     """The rows of ``event_rows``, counted on the way: rows, and those that break a rule of the study.
 
-    * ``late_events``: an event whose outcome came after a dose that ends follow-up.
+    * ``late_events``: an event whose outcome came after a dose that ends follow-up. A dose on the day of infection does not:
+      the event wins that tie, and the dose is not strictly between infection and outcome, so the cohort rules keep the row.
     * ``early_outcomes``: an outcome before its infection.
     * ``unknown_groups``: a row of neither arm.
     """
     observation = Observation(name)
     event = F.col("event") == EVENT
     dosed = F.col("censoring").isin(*DOSE_CENSORED) | ((F.col("variant") == "full") & (F.col("group") == UNVACCINATED))
-    late = event & dosed & (F.col("outcome_date") > F.col("next_vaccine"))
+    after = (F.col("outcome_date") > F.col("next_vaccine")) & (F.col("next_vaccine") != F.col("covid_date"))
+    late = event & dosed & after
     early = F.col("outcome_date") < F.col("covid_date")
     unknown = ~F.col("group").isin(VACCINATED, UNVACCINATED)
     counted = rows.observe(

@@ -82,6 +82,22 @@ def test_a_planted_violation_stops_the_run(spark, change, broken):
             effects.stop_on_violations(observed)
 
 
+@pytest.mark.parametrize("dose,broken", [(0, None), (1, "late_events"), (-1, "late_events")])
+def test_a_dose_on_the_day_of_infection_stops_nothing(spark, dose, broken):
+    """An event wins the tie with a dose of its day, which lies not between infection and outcome; doses of other days do not."""
+    day = datetime.date(2021, 1, 10)
+    change = {"outcome_date": day + datetime.timedelta(30), "next_vaccine": day + datetime.timedelta(dose)}
+    rows = spark.createDataFrame([tuple(({"person_id": 1, "group": "vaccinated", "censoring": "both", "variant": None, "covid_date": day,
+                                          "outcome_date": day, "next_vaccine": None, "event": 1} | change).values())], ROW)
+    stored, observed = effects.checked(rows)
+    assert StageStore(spark).save(stored, "ties").count() == 1
+    if broken is None:
+        assert effects.stop_on_violations(observed) == {"rows": 1, "late_events": 0, "early_outcomes": 0, "unknown_groups": 0}
+    else:
+        with pytest.raises(effects.StudyError, match=broken):
+            effects.stop_on_violations(observed)
+
+
 def test_index_names(spark):
     listed = spark.createDataFrame([(15, "VTE 0 to 30 no"), (15, "VTE again"), (174, None), (3, "dose"), (None, "x"), (5000, "y")],
                                    "cohortId int, cohortName string")
