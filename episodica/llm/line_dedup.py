@@ -14,8 +14,8 @@ each component only the first line (by doc_id, place, then text) stays.
    of all shingles. A pair of similarity 0.8 has fewer equal minima with probability 7e-6. Before any set of a pair is built,
    parities tell most others apart: each line that shares a band has a map of ``64 * WORDS`` bits, a bit being the parity of the
    shingles that fall on it. Bits that differ between two lines are no more than the shingles that only one of them has, so
-   a pair with too many of them is no link; this loses none. Pairs of a bucket's members are told apart inside the join
-   that makes them.
+   a pair with too many of them is no link; this loses none. Pairs of a bucket's members are told apart by them inside
+   the join that makes them, before their minima.
 4. Components come from union-find over tables.
 
 Null texts have no lines. Equal doc_ids with equal texts are one document. Rows without doc_id come
@@ -27,7 +27,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from functools import reduce
-from operator import add, and_
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +37,8 @@ from episodica.llm.components import union_find
 from episodica.llm.linking import linked
 
 SHINGLE, MIN_CHARS, PERCENT, BANDS, ROWS, LEAST_EQUAL, WORDS = 8, 16, 80, 8, 3, 10, 16
-#: Shingles of a line that are signed together, which spares three of four updates of the minima.
-STEP = 4
+#: Shingles of a line that are signed together, which spares three of four updates of the minima, and turned over together.
+STEP, TURNED = 4, 8
 
 
 def text_key() -> Column:
@@ -86,12 +86,6 @@ def _bucket(band: int, rows: int) -> Column:
     return F.xxhash64(F.lit(band), *[f"m{band * rows + r}" for r in range(rows)])
 
 
-def first_shared(bands: int, rows: int) -> Column:
-    """The bucket of the first band in which the signatures m0, m1, ... and k0, k1, ... agree."""
-    agree = [reduce(and_, [F.col(f"m{k}") == F.col(f"k{k}") for k in range(b * rows, b * rows + rows)]) for b in range(bands)]
-    return F.coalesce(*[F.when(same, _bucket(b, rows)) for b, same in enumerate(agree)])
-
-
 def shared_lines(members: DataFrame) -> DataFrame:
     """Members (bucket, id) of the buckets that hold more than one id, with the smallest id of each.
 
@@ -107,24 +101,34 @@ def alike(n: int, least: int) -> Column:
     return reduce(add, [(F.col(f"m{k}") == F.col(f"k{k}")).cast("int") for k in range(n)]) >= least
 
 
-def with_shingles(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Adds s, the hashes of a line's shingles.
+def shingle_hashes(line: Column, size: int = SHINGLE) -> Column:
+    """The hashes of a line's shingles.
 
-    The generator makes Spark encode a line once; inlined into the lambda it would be encoded for every shingle.
+    The encoded line is the outer lambda's variable: read as a column of the row, its bytes would be copied for every shingle.
     """
-    wide = lines.select("*", F.explode(F.array(F.encode("line", "UTF-16BE"))).alias("_u"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("_u") - 2 * size + 1), F.lit(2))
-    hashes = F.transform(starts, lambda at: F.xxhash64(F.substr("_u", at, F.lit(2 * size))))
-    return wide.withColumn("s", hashes).drop("_u")
+    def hashed(u: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(u) - 2 * size + 1), F.lit(2))
+        return F.transform(starts, lambda at: F.xxhash64(F.substr(u, at, F.lit(2 * size))))
+
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), hashed), F.lit(0))
 
 
 def parities(lines: DataFrame, words: int = WORDS, size: int = SHINGLE) -> DataFrame:
     """(id, n, w0, w1, ...): the size of a line's set, and a map of bits whose parities its shingles turn over."""
-    cells = shingles(lines, size).distinct()
-    at, bit = F.pmod(F.shiftright("h0", 6), F.lit(words)), F.expr("shiftleft(1L, cast(h0 & 63 as int))")
-    bits = cells.select("id", at.alias("at"), bit.alias("bit"))
-    turned = [F.bit_xor(F.when(F.col("at") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(words)]
-    return bits.groupBy("id").agg(F.count("*").cast("int").alias("n"), *turned)
+    # The generator makes Spark build a set once; inlined it would be built for every place of the second one.
+    sets = lines.select("id", F.explode(F.array(F.array_distinct(shingle_hashes(F.col("line"), size)))).alias("s"))
+    cells = sets.select("id", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(TURNED))).alias("from"))
+    cells = cells.select("id", F.size("s").alias("n"), *[F.get("s", F.col("from") + j).alias(f"h{j}") for j in range(TURNED)])
+    at = [F.pmod(F.shiftright(f"h{j}", 6), F.lit(words)).cast("int").alias(f"at{j}") for j in range(TURNED)]
+    bit = [F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"bit{j}") for j in range(TURNED)]
+    bits = cells.select("id", "n", *at, *bit)
+    zero = F.lit(0).cast("long")
+
+    def turned(k: int) -> Column:
+        here = [F.when(F.col(f"at{j}") == k, F.col(f"bit{j}")).otherwise(zero) for j in range(TURNED)]
+        return F.bit_xor(reduce(lambda x, y: x.bitwiseXOR(y), here)).alias(f"w{k}")
+
+    return bits.groupBy("id").agg(F.max("n").alias("n"), *[turned(k) for k in range(words)])
 
 
 def near_enough(words: int, percent: int) -> Column:
@@ -134,17 +138,14 @@ def near_enough(words: int, percent: int) -> Column:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. Lines travel as text, a tenth of their sets."""
+    """Pairs (a, b, n, l) whose full sets, of n and l shingles, are similar enough. Lines travel as text, a tenth of their sets."""
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     # Dealt by number: a few short pairs would else be drawn into one task, and their sets are what takes the time.
     both = pairs.join(a, "a").repartition(hashed_parts(pairs.sparkSession), "b").join(b, "b")
-    both = with_shingles(both.withColumnRenamed("line_a", "line"), size).withColumnRenamed("s", "sa").drop("line")
-    both = with_shingles(both.withColumnRenamed("line_b", "line"), size)
-    # The same as 100 * shared >= percent * union, with the shared ones named (and so computed) once.
-    shared = F.size(F.array_intersect("sa", "s"))
-    sizes = F.size(F.array_distinct("sa")) + F.size(F.array_distinct("s"))
-    return both.where((100 + percent) * shared >= percent * sizes).select("a", "b")
+    shared = F.size(F.array_intersect(shingle_hashes(F.col("line_a"), size), shingle_hashes(F.col("line_b"), size)))
+    # The same as 100 * shared >= percent * union.
+    return both.where((100 + percent) * shared >= percent * (F.col("n") + F.col("l"))).select("a", "b")
 
 
 def _components(
@@ -161,21 +162,22 @@ def _components(
     first = put(signed.join(parities(texts, WORDS, size).hint("shuffle_hash"), "id"), "id")
     other = {"id": "b", "n": "l"} | {f"m{k}": f"k{k}" for k in range(n)} | {f"w{k}": f"v{k}" for k in range(WORDS)}
     second = first.withColumnsRenamed(other)
+    sides = ["n", *[f"w{k}" for k in range(WORDS)]]
     near_by = alike(n, least_equal) & near_enough(WORDS, percent)
 
     def similar(pairs: DataFrame) -> DataFrame:
         near = pairs.join(first.withColumnRenamed("id", "a"), "a").join(second, "b").where(near_by)
-        return _similar(near.select("a", "b"), texts, percent, size)
+        return _similar(near.select("a", "b", "n", "l"), texts, percent, size)
 
     def meet(rest: DataFrame) -> DataFrame:
-        """Members of a bucket in different components that may be links, told apart within the join.
+        """Members of a bucket in different components that may be links, told apart by their parities within the join.
 
-        A pair is taken from the first bucket it shares; that one is among the rest, as any that holds two components is.
+        ``similar`` asks the rest of ``near_by``: with it the join's code would be too long for Java to compile.
         """
-        one = rest.join(first, "id").withColumnRenamed("id", "a")
-        two = rest.withColumnsRenamed({"id": "b", "c": "d"}).join(second, "b")
-        once = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near_by & (F.col("bucket") == first_shared(bands, rows))
-        return one.join(two, one["bucket"] == two["bucket"]).drop(two["bucket"]).where(once).select("a", "b")
+        one = rest.join(first.select("id", *sides), "id").withColumnRenamed("id", "a")
+        two = rest.withColumnsRenamed({"id": "b", "c": "d"}).join(second.select("b", *[other[c] for c in sides]), "b")
+        apart = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near_enough(WORDS, percent)
+        return one.join(two, one["bucket"] == two["bucket"]).drop(two["bucket"]).where(apart).select("a", "b")
 
     return linked(shared, similar, union_find, percent, meet=meet)
 

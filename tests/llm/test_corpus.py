@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -333,6 +334,38 @@ def test_members_meet_once_and_only_where_they_may_be_links(spark, monkeypatch):
     assert len(pairs) <= close + 20 < len(lines) * (len(lines) - 1) / 8
 
 
+def test_code_of_the_join_of_members_is_compiled(spark, monkeypatch):
+    """Java does not compile methods of more than 8,000 bytes; a join that is interpreted takes microseconds for every pair."""
+    sizes, link = [], line_dedup.linked
+    explain = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+
+    def seen(shared, *args, meet, **options):
+        settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+        before = {k: spark.conf.get(k) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = meet(shared.select("bucket", "id", F.col("id").alias("c")))._jdf.queryExecution()
+        sizes.extend(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", explain(plan, "codegen")))
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        return link(shared, *args, meet=meet, **options)
+
+    monkeypatch.setattr(line_dedup, "linked", seen)
+    table = spark.createDataFrame([(k, BASE + " " + str(k)) for k in range(3)], "doc_id long, text string")
+    assert line_dedup.report(table).where("n_removed > 0").count() == 2
+    assert 0 < max(sizes) < 8000
+
+
+def test_sets_of_long_lines_are_linear(spark):
+    """Two lines of 400,000 letters: a set is built from one copy of the line, not from one for every shingle."""
+    line = "".join(random.Random(8).choices("abcdefghijklmnopqrstuvwxyz ", k=400_000))
+    texts = spark.createDataFrame([(1, line), (2, line[:-9])], "id long, line string")
+    pairs = spark.createDataFrame([(1, 2, len(line) - 7, len(line) - 16)], "a long, b long, n int, l int")
+    began = time.monotonic()
+    assert line_dedup._similar(pairs, texts, 80, 8).count() == 1
+    assert time.monotonic() - began < 25
+
+
 def test_clean_is_linear_in_the_lines_of_a_text(spark):
     """Of 60,000 lines in one text, each written twice, half go."""
     text = "\n".join(f"line {k % 30_000}" for k in range(60_000))
