@@ -86,6 +86,11 @@ def _bucket(band: int, rows: int) -> Column:
     return F.xxhash64(F.lit(band), *[f"m{band * rows + r}" for r in range(rows)])
 
 
+def first_shared(bands: int) -> Column:
+    """The bucket of the first band in which the buckets x0, x1, ... and y0, y1, ... agree."""
+    return F.coalesce(*[F.when(F.col(f"x{b}") == F.col(f"y{b}"), F.col(f"x{b}")) for b in range(bands)])
+
+
 def shared_lines(members: DataFrame) -> DataFrame:
     """Members (bucket, id) of the buckets that hold more than one id, with the smallest id of each.
 
@@ -172,12 +177,14 @@ def _components(
     def meet(rest: DataFrame) -> DataFrame:
         """Members of a bucket in different components that may be links, told apart by their parities within the join.
 
-        ``similar`` asks the rest of ``near_by``: with it the join's code would be too long for Java to compile.
+        A pair is taken from the first bucket it shares; that one is among the rest, as any that holds two components is.
+        ``similar`` asks for the minima: with them the join's code would be too long for Java to compile.
         """
-        one = rest.join(first.select("id", *sides), "id").withColumnRenamed("id", "a")
-        two = rest.withColumnsRenamed({"id": "b", "c": "d"}).join(second.select("b", *[other[c] for c in sides]), "b")
-        apart = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near_enough(WORDS, percent)
-        return one.join(two, one["bucket"] == two["bucket"]).drop(two["bucket"]).where(apart).select("a", "b")
+        one = rest.join(first.select("id", *sides, *[_bucket(b, rows).alias(f"x{b}") for b in range(bands)]), "id")
+        two = one.withColumnsRenamed({"id": "b", "c": "d"} | {c: other[c] for c in sides} | {f"x{b}": f"y{b}" for b in range(bands)})
+        one = one.withColumnRenamed("id", "a")
+        once = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (F.col("bucket") == first_shared(bands))
+        return one.join(two.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b")).where(once & near_enough(WORDS, percent)).select("a", "b")
 
     return linked(shared, similar, union_find, percent, meet=meet)
 
